@@ -26,10 +26,20 @@ CODES = {
     "ru": ("ru", "rus"),
 }
 LONGEST = 5
+#: Weight of a word that training did not hold.
+UNKNOWN = 0.6
 CACHE = 300_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
-#: What UTF-8 looks like when it was decoded as a single-byte charset, and so does Cyrillic.
-_ODD = re.compile("[ÂÃÄÅÐÑРС][\u0080-¿Œ-žˆ-˜Ѐ-џ–-™]")
+_WORDS_AND_ENDS = re.compile(r"[^\W\d_]+|\n").findall
+
+
+def _tight(line: str) -> bool:
+    """Whether every blank of the line parts two words."""
+    return bool(line) and "  " not in line and line[0] != " " and line[-1] != " "
+
+
+#: What two-byte UTF-8 looks like when it was decoded as a western single-byte charset.
+_ODD = re.compile("[\u00c2-\u00c5\u00d0\u00d1][\u0080-\u00bf\u0152-\u017e\u02c6-\u02dc\u2010-\u2122]")
 
 
 def named_language(lang: Column) -> Column:
@@ -40,20 +50,22 @@ def named_language(lang: Column) -> Column:
 
 
 def repaired(line: str) -> str:
-    """The line, decoded anew if it reads like UTF-8 taken for a single-byte charset."""
-    if not _ODD.search(line):
+    """The line, decoded anew if it reads like UTF-8 taken for a western single-byte charset."""
+    odd = len(_ODD.findall(line))
+    if not odd:
         return line
-    for charset in ("cp1252", "latin-1", "cp1251"):
-        raw = bytearray()
-        for ch in line:
-            try:
-                raw += ch.encode(charset)
-            except UnicodeEncodeError:
-                raw += ch.encode("latin-1") if ord(ch) < 256 else b"?"
-        text = raw.decode("utf-8", "replace")
-        if text.count("�") * 4 < len(_ODD.findall(line)):
-            return text
-    return line
+    raw, lost = bytearray(), 0
+    for ch in line:
+        try:
+            raw += ch.encode("cp1252")
+        except UnicodeEncodeError:
+            if ord(ch) < 256:
+                raw.append(ord(ch))
+            else:
+                raw += b"?"
+                lost += 1
+    text = raw.decode("utf-8", "replace")
+    return text if (text.count("\ufffd") + lost) * 4 <= odd else line
 
 
 class Model:
@@ -86,18 +98,24 @@ class Model:
         self.zero = np.zeros(len(self.langs), np.float32)
 
     def word(self, word: str) -> np.ndarray:
-        """Scores of one word: its own if known, else the mean over its longest known n-grams."""
+        """Scores of one word: its own if known, else those of its n-grams, the longest first.
+
+        The share of an order's n-grams that is known is their weight; what it leaves falls to
+        the next shorter order, so a name that shares one chance n-gram says little."""
         known = self.tables[0].get(word)
         if known is not None:
             return known - known.max()
         padded = f" {word} "
+        out, weight = self.zero.copy(), UNKNOWN
         for n in range(min(LONGEST, len(padded)), 0, -1):
-            table = self.tables[n]
-            got = [table[g] for k in range(len(padded) - n + 1) if (g := padded[k : k + n]) in table]
+            table, all_grams = self.tables[n], len(padded) - n + 1
+            got = [table[g] for k in range(all_grams) if (g := padded[k : k + n]) in table]
             if got:
                 score = np.mean(got, axis=0)
-                return (score - score.max()) * (n / LONGEST)
-        return self.zero
+                share = len(got) / all_grams
+                out += weight * share * (score - score.max())
+                weight *= 1 - share
+        return out
 
 
 class Labeller:
@@ -122,22 +140,24 @@ class Labeller:
         """Summed scores, blank-separated words and scored words of every line."""
         if len(self.index) > CACHE:
             self._reset()
-        index = self.index
-        flat: list[int] = []
-        blanks, sizes = [], []
-        for line in text.split("\n"):
-            blanks.append(len(line.split(" ")) - line.count("  ") if "  " not in line and line[:1] != " " and line[-1:] != " " else sum(1 for w in line.split(" ") if w))
-            before = len(flat)
-            for w in _WORDS(repaired(line).lower()):
-                at = index.get(w)
-                flat.append(self._place(w) if at is None else at)
-            sizes.append(len(flat) - before)
+        index, lines = self.index, text.split("\n")
+        blanks = [line.count(" ") + 1 if _tight(line) else sum(1 for w in line.split(" ") if w) for line in lines]
+        if _ODD.search(text):
+            text = "\n".join(map(repaired, lines))
+        words = _WORDS_AND_ENDS(text.lower())
+        for w in set(words):
+            if w not in index:
+                self._place(w)
+        flat = np.array([index[w] for w in words], np.int64)
+        ends = np.flatnonzero(flat == index["\n"]) if "\n" in index else np.empty(0, np.int64)
+        marks = np.r_[0, ends - np.arange(len(ends)), len(flat) - len(ends)]
+        flat = np.delete(flat, ends)
+        sizes = np.diff(marks)
         sums = np.zeros((len(sizes), len(self.model.langs)))
-        if flat:
-            marks = np.r_[0, np.cumsum(sizes)]
+        if len(flat):
             total = np.vstack([np.zeros((1, sums.shape[1])), np.cumsum(self.rows[flat], axis=0, dtype=np.float64)])
             sums = total[marks[1:]] - total[marks[:-1]]
-        return sums, np.array(blanks), np.array(sizes)
+        return sums, np.array(blanks), sizes
 
     def label(self, text: str | None, least_words: int) -> dict | None:
         """The document's language with its confidence, and its segments."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -16,22 +17,35 @@ from readweave.session import cut, shuffle_partitions
 
 #: Letters of an anchor and of the segment on either side of it (2 bits a letter, 22 of 23 bits).
 ANCHOR, SEGMENT = 8, 11
+#: Letters a segment cut off by the text's end must have.
+PART = 5
 #: Anchors per text: at least LEAST, and one in EVERY of all its places, those of least rank.
-LEAST, EVERY = 6, 7
+LEAST, EVERY = 6, 9
+#: Texts below this length also have keys that no move of a block changes.
+MOVED = 48
 #: Texts below this length also meet by their single grams.
 SHORT = 16
 _BUCKETS = 1 << (2 * ANCHOR)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _letters(texts: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """2-bit codes of all letters, with ``pad`` zeros on both sides, and the lengths."""
+def _letters(texts: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """2-bit codes of all letters, twice, and the lengths.
+
+    ``pad`` columns precede and follow each text: in the first array they are 0, in the second
+    they close the text to a ring, so that halves that changed places keep their segments.
+    """
     lens = np.array([len(t) for t in texts])
     width = max(int(lens.max()), 1)
     raw = np.array(texts, dtype=f"S{width}").view(np.uint8).reshape(len(texts), width)
     codes = (raw >> 1) & 3  # A, C, T, G become 0, 1, 2, 3; any other letter gets some code
-    codes[np.arange(width) >= lens[:, None]] = 0
-    return np.pad(codes, ((0, 0), (pad, pad + ANCHOR))).astype(np.int64), lens
+    codes = np.pad(codes, ((0, 0), (pad, pad + ANCHOR))).astype(np.int64)
+    column = np.arange(-pad, width + pad + ANCHOR)
+    codes[(column < 0) | (column >= lens[:, None])] = 0
+    if not pad:
+        return codes, codes, lens
+    ring = np.take_along_axis(codes, column % np.maximum(lens, ANCHOR)[:, None] + pad, 1)
+    return codes, ring, lens
 
 
 def _windows(codes: np.ndarray, first: int, count: int, width: int) -> np.ndarray:
@@ -60,7 +74,7 @@ def anchor_counts(texts: list[bytes]) -> np.ndarray:
     """How often each of the 65,536 anchors occurs."""
     out = np.zeros(_BUCKETS, np.int64)
     for block in _by_length(texts):
-        codes, lens = _letters([texts[i] for i in block], 0)
+        codes, _, lens = _letters([texts[i] for i in block], 0)
         n = max(int(lens.max()) - ANCHOR + 1, 1)
         anchors = _windows(codes, 0, n, ANCHOR)
         out += np.bincount(anchors[np.arange(n) < np.maximum(lens - ANCHOR + 1, 1)[:, None]], minlength=_BUCKETS)
@@ -68,10 +82,11 @@ def anchor_counts(texts: list[bytes]) -> np.ndarray:
 
 
 def anchor_ranks(counts: np.ndarray) -> np.ndarray:
-    """The order in which anchors are chosen: at random, but those far commoner than the mean last."""
+    """The order in which anchors are chosen: at random, but those clearly commoner than the mean last."""
     ids = np.arange(_BUCKETS, dtype=np.uint64)
     ranks = (((ids + np.uint64(1)) * _MIX) >> np.uint64(40)).astype(np.int64)
-    common = counts > max(2 * counts.sum() / _BUCKETS, 32)
+    mean = counts.sum() / _BUCKETS
+    common = counts > 1.03 * mean + np.sqrt(mean) + 2
     return np.where(common, (1 << 24) * (1 + np.ceil(np.log2(np.maximum(counts, 1)))).astype(np.int64) + ranks, ranks)
 
 
@@ -85,7 +100,7 @@ def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.nda
     """
     places, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for block in _by_length(texts):
-        codes, lens = _letters([texts[i] for i in block], SEGMENT)
+        codes, ring, lens = _letters([texts[i] for i in block], SEGMENT)
         n = max(int(lens.max()) - ANCHOR + 1, 1)
         anchors = _windows(codes, SEGMENT, n, ANCHOR)
         usable = np.maximum(lens - ANCHOR + 1, 1)
@@ -99,16 +114,29 @@ def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.nda
         row, col = np.nonzero((ranked < (np.int64(1) << 60)) & (np.arange(most) < chosen[:, None]))
         at = at[row, col]
         anchor = anchors[row, at]
-        for side, shift in ((0, 0), (1, SEGMENT + ANCHOR)):
-            word = np.zeros(len(row), np.int64)
+        rest = lens[row] - at - ANCHOR
+        before, after = (at < SEGMENT) & (at >= PART), (rest < SEGMENT) & (rest >= PART)
+        for side, letters, shift, some in (
+            (0, ring, 0, None),
+            (1, ring, SEGMENT + ANCHOR, None),
+            (2, codes, 0, before),
+            (3, codes, SEGMENT + ANCHOR, after),
+        ):
+            line, place, key = (row, at, anchor) if some is None else (row[some], at[some], anchor[some])
+            word = np.zeros(len(line), np.int64)
             for k in range(SEGMENT):
-                word |= codes[row, at + shift + k] << (2 * k)
+                word |= letters[line, place + shift + k] << (2 * k)
             index = codeword_keys(word)
             new = np.ones(index.shape, bool)
             new[:, 1:] = index[:, 1:] != index[:, :1]
             r, c = np.nonzero(new)
-            places.append(block[row[r]])
-            keys.append((np.int64(side) << 60) | (anchor[r] << 12) | index[r, c])
+            places.append(block[line[r]])
+            keys.append((np.int64(side) << 58) | (key[r] << 12) | index[r, c])
+        small = np.flatnonzero((lens < MOVED) & (lens >= gram + 4))
+        if len(small):
+            place, key = _order_free(codes[small, SEGMENT:], lens[small], gram + 2)
+            places.append(block[small[place]])
+            keys.append(key)
     short = [i for i, t in enumerate(texts) if gram <= len(t) < SHORT]
     if short:
         rows = [(i, hash_gram(g)) for i in short for g in {texts[i][k : k + gram] for k in range(len(texts[i]) - gram + 1)}]
@@ -117,6 +145,29 @@ def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.nda
     return np.concatenate(places), np.concatenate(keys)
 
 
+def _order_free(codes: np.ndarray, lens: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of every three among the six grams of least rank of each text, wherever they stand.
+
+    A block that moved within a short text can be shorter than an anchor and its segment."""
+    n = int(lens.max()) - gram + 1
+    grams = _windows(codes, 0, n, gram).astype(np.uint64) + np.uint64(1)
+    ranks = (grams * _MIX) >> np.uint64(16)
+    ranks[np.arange(n) >= (lens - gram + 1)[:, None]] = np.uint64(2**63)
+    ranks.sort(axis=1)
+    ranks[:, 1:][ranks[:, 1:] == ranks[:, :-1]] = np.uint64(2**63)
+    ranks.sort(axis=1)
+    places, keys = [], []
+    for some in combinations(range(min(6, n)), 3):
+        got = ranks[:, some]
+        use = np.flatnonzero((got < np.uint64(2**63)).all(1))
+        key = np.zeros(len(use), np.uint64)
+        for k in range(3):
+            key = (key ^ got[use, k]) * _MIX
+        places.append(use)
+        keys.append(((key >> np.uint64(8)) | np.uint64(1 << 60)).astype(np.int64))
+    return np.concatenate(places), np.concatenate(keys)
+
+
 def hash_gram(gram: bytes) -> int:
     """A key of one gram, apart from the keys of anchors."""
     value = int.from_bytes(gram[:7], "big") * 0x9E3779B97F4A7C15 % (1 << 57)
@@ -295,7 +346,7 @@ def near_duplicate_pairs(df: DataFrame, gram: int = 5, tenths: int = 6) -> DataF
 
     Exact copies become one class before anything else. Each class gets Golay fuzzy keys (see
     :func:`fuzzy_keys`): of any two alike values most substrings agree, so among the anchors of
-    least rank (at least 6, one place in 7) some are common to both, and of their two segments
+    least rank (at least 6, one place in 9) some are common to both, and of their two segments
     at least one lies on the side away from the next edit; up to two wrong bits in it are
     borne by the code. Classes that share a key are verified exactly on whole texts. No
     bucket is capped. Copies pair with each other and with all rows of alike classes.

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readweave.session import cut
+
 
 class Packer:
     """Sum-of-squares packing of a stream of sizes into containers of one capacity.
@@ -102,6 +102,7 @@ def pack(df: DataFrame, item: str, size: str, capacity: int, lane_rows: int = 20
     first = first.select(number, "item", "copy", "piece", "start", "size", "fill", "lane")
     if lanes == 1:
         return first.select("item", "piece", "start", "size", F.col("id").alias("container_id"))
+    first = cut(first)  # read twice below, and packed only once
     loose = first.where(F.col("fill") < capacity).groupBy("id").agg(F.first("fill").alias("size"), F.first("lane").alias("l"))
     loose = loose.select(
         F.floor(F.col("l") / merge_lanes).cast("bigint").alias("lane"), F.col("id").alias("item"), F.lit(0).cast("bigint").alias("copy"), "size"
