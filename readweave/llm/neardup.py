@@ -20,13 +20,17 @@ ANCHOR, SEGMENT = 8, 11
 #: Letters a segment cut off by the text's end must have.
 PART = 5
 #: Anchors per text: at least LEAST, and one in EVERY of all its places, those of least rank.
-LEAST, EVERY = 6, 9
+LEAST, EVERY = 7, 7
 #: Texts below this length also have keys that no move of a block changes.
 MOVED = 48
 #: Texts below this length also meet by their single grams.
 SHORT = 16
 _BUCKETS = 1 << (2 * ANCHOR)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Marks keys that are compared as they are; others hold side, anchor and word in 41 bits.
+EXACT = 1 << 41
+#: Segment rows a partition is meant to hold.
+ROWS = 300_000
 
 
 def _letters(texts: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,12 +95,12 @@ def anchor_ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the text, key) rows of a batch, sorted out per text.
+    """(place of the text, segment) rows of a batch.
 
     A text's fingerprint is the list of its chosen anchors, each with the segment of 11
-    letters before and after it as 23-bit words. Every word gives the indices of the codewords
-    near it, and (anchor, side, index) is a key. Letters differ by one or two bits, so a
-    segment with one changed letter still shares a key.
+    letters before and after it as 23-bit words. A row holds side, anchor and word; what the
+    word decodes to is worked out where equal anchors meet (:func:`decoded`). Letters differ by
+    one or two bits, so a segment with one changed letter still meets.
     """
     places, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for block in _by_length(texts):
@@ -126,15 +130,11 @@ def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.nda
             word = np.zeros(len(line), np.int64)
             for k in range(SEGMENT):
                 word |= letters[line, place + shift + k] << (2 * k)
-            index = codeword_keys(word)
-            new = np.ones(index.shape, bool)
-            new[:, 1:] = index[:, 1:] != index[:, :1]
-            r, c = np.nonzero(new)
-            places.append(block[line[r]])
-            keys.append((np.int64(side) << 58) | (key[r] << 12) | index[r, c])
+            places.append(block[line])
+            keys.append((np.int64(side) << 39) | (key << 23) | word)
         small = np.flatnonzero((lens < MOVED) & (lens >= gram + 4))
         if len(small):
-            place, key = _order_free(codes[small, SEGMENT:], lens[small], gram + 2)
+            place, key = _order_free(codes[small, SEGMENT:], lens[small], gram + 1)
             places.append(block[small[place]])
             keys.append(key)
     short = [i for i, t in enumerate(texts) if gram <= len(t) < SHORT]
@@ -145,6 +145,53 @@ def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.nda
     return np.concatenate(places), np.concatenate(keys)
 
 
+def decoded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys: every segment gives the indices of the codewords near its word."""
+    plain = np.flatnonzero(keys & EXACT)
+    fuzzy = np.flatnonzero((keys & EXACT) == 0)
+    index = codeword_keys(keys[fuzzy] & 0x7FFFFF)
+    new = np.ones(index.shape, bool)
+    new[:, 1:] = index[:, 1:] != index[:, :1]
+    r, c = np.nonzero(new)
+    return np.r_[plain, fuzzy[r]], np.r_[keys[plain], ((keys[fuzzy[r]] >> 23) << 12) | index[r, c]]
+
+
+def sketches(texts: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """120 parities of each text's distinct grams by hash, and its number of grams up to 255.
+
+    One gram that only one of two texts has flips one parity, so texts whose parities differ in
+    d places differ in at least d grams: a pair can be dismissed, never wrongly. 255 grams
+    or more, or letters beyond ASCII, give 255, which dismisses nothing.
+    """
+    low, high = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for block in _by_length(texts):
+        part = [texts[i] for i in block]
+        codes, _, lens = _letters(part, 0)
+        n = max(int(lens.max()) - gram + 1, 1)
+        wide = np.pad(codes, ((0, 0), (0, max(0, n + gram - codes.shape[1]))))
+        grams = _windows(wide, 0, n, gram)
+        grams[np.arange(n) >= (lens - gram + 1)[:, None]] = -1
+        grams.sort(axis=1)
+        grams[:, 1:][grams[:, 1:] == grams[:, :-1]] = -1
+        bit = (((grams.astype(np.uint64) + np.uint64(7)) * _MIX) >> np.uint64(33)) % np.uint64(120)
+        one = np.where(grams >= 0, np.uint64(1), np.uint64(0))
+        first = np.where(bit < 64, one << np.minimum(bit, np.uint64(63)), np.uint64(0))
+        second = np.where(bit >= 64, one << (np.maximum(bit, np.uint64(64)) - np.uint64(64)), np.uint64(0))
+        number = np.array([min(max(len(t) - gram + 1, 0), 255) if t.isascii() else 255 for t in part], np.uint64)
+        low[block] = np.bitwise_xor.reduce(first, axis=1).view(np.int64)
+        high[block] = (np.bitwise_xor.reduce(second, axis=1) | (number << np.uint64(56))).view(np.int64)
+    return low, high
+
+
+def may_be_alike(low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray, tenths: int) -> np.ndarray:
+    """Whether the sketches of rows a and b leave room for a likeness of tenths / 10."""
+    count = (high >> 56) & 0xFF
+    few = np.int64((1 << 56) - 1)
+    apart = np.bitwise_count((low[a] ^ low[b]).view(np.uint64)).astype(np.int64) + np.bitwise_count((high[a] ^ high[b]) & few)
+    both = count[a] + count[b]
+    return (apart * (10 + tenths) <= both * (10 - tenths)) | (count[a] == 255) | (count[b] == 255)
+
+
 def _order_free(codes: np.ndarray, lens: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of every three among the six grams of least rank of each text, wherever they stand.
 
@@ -164,33 +211,35 @@ def _order_free(codes: np.ndarray, lens: np.ndarray, gram: int) -> tuple[np.ndar
         for k in range(3):
             key = (key ^ got[use, k]) * _MIX
         places.append(use)
-        keys.append(((key >> np.uint64(8)) | np.uint64(1 << 60)).astype(np.int64))
+        keys.append(((key >> np.uint64(23)) | np.uint64(EXACT)).astype(np.int64))
     return np.concatenate(places), np.concatenate(keys)
 
 
 def hash_gram(gram: bytes) -> int:
     """A key of one gram, apart from the keys of anchors."""
-    value = int.from_bytes(gram[:7], "big") * 0x9E3779B97F4A7C15 % (1 << 57)
-    return (1 << 61) | value
+    value = int.from_bytes(gram[:7], "big") * 0x9E3779B97F4A7C15 % (1 << 64)
+    return EXACT | (value >> 23)
 
 
-def pairs_of_keys(keys: np.ndarray, ids: np.ndarray, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_of_keys(keys: np.ndarray, ids: np.ndarray, keep=None, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different ids that share a key, smaller id first, in blocks of bounded size.
 
-    Runs of equal keys are found by one sort; round k pairs every row with the k-th next row
-    of its run, so memory stays at the rows', however long a run is.
+    ``keep`` may dismiss pairs by their two rows. Runs of equal keys are found by one sort;
+    round k pairs every row with the k-th next row of its run, so memory stays at the rows',
+    however long a run is.
     """
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
     same = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])] if len(keys) else np.empty(0, bool)
-    keys, ids = keys[same], ids[same]
+    keys, ids, order = keys[same], ids[same], order[same]
     last = np.searchsorted(keys, keys, side="right") - 1  # the last row of each row's run
     rows = np.flatnonzero(last > np.arange(len(keys)))
     got_a, got_b, held, k = [], [], 0, 1
     while len(rows):
-        got_a.append(ids[rows])
-        got_b.append(ids[rows + k])
-        held += len(rows)
+        kept = rows if keep is None else rows[keep(order[rows], order[rows + k])]
+        got_a.append(ids[kept])
+        got_b.append(ids[kept + k])
+        held += len(kept)
         k += 1
         rows = rows[rows + k <= last[rows]]
         if held >= block:
@@ -253,8 +302,8 @@ def _classes(df: DataFrame) -> DataFrame:
     return df.where(F.col("value").isNotNull() & F.col("key").isNotNull()).groupBy("field", "value").agg(F.min("key").alias("id"))
 
 
-def _candidates(classes: DataFrame, gram: int) -> DataFrame:
-    """Distinct (field, a, b) of classes that share a fuzzy key."""
+def _candidates(classes: DataFrame, gram: int, tenths: int) -> DataFrame:
+    """Distinct (field, a, b) of classes that share a fuzzy key and whose sketches do not part them."""
     spark = classes.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +314,7 @@ def _candidates(classes: DataFrame, gram: int) -> DataFrame:
             for field, part in frame.groupby("field"):
                 texts = [t.encode() for t in part["value"]]
                 sums[field] = sums.get(field, 0) + anchor_counts(texts)
-                rows[field] = rows.get(field, 0) + sum(2 * 6 * max(LEAST, -(-len(t) // EVERY)) for t in texts)
+                rows[field] = rows.get(field, 0) + sum(3 * max(LEAST, -(-len(t) // EVERY)) for t in texts)
         for field, c in sums.items():
             used = np.flatnonzero(c)
             yield pa.RecordBatch.from_pandas(
@@ -281,9 +330,8 @@ def _candidates(classes: DataFrame, gram: int) -> DataFrame:
         counts[inner["anchor"].to_numpy()] = inner["n"].to_numpy()
         ranks[field] = (at, anchor_ranks(counts))
     shared = spark.sparkContext.broadcast(ranks)
-    # enough partitions that each holds about a million keys
-    keys = int(counted.loc[counted["anchor"] < 0, "n"].sum()) if len(counted) else 0
-    parts = max(shuffle_partitions(spark), keys // 1_000_000 + 1)
+    rows = int(counted.loc[counted["anchor"] < 0, "n"].sum()) if len(counted) else 0
+    parts = max(shuffle_partitions(spark), rows // ROWS + 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,29 +341,34 @@ def _candidates(classes: DataFrame, gram: int) -> DataFrame:
                 ids = part["id"].to_numpy()
                 texts = [t.encode() for t in part["value"]]
                 for start in range(0, len(texts), 4096):
-                    places, keys = fuzzy_keys(texts[start : start + 4096], order, gram)
+                    some = texts[start : start + 4096]
+                    places, keys = fuzzy_keys(some, order, gram)
+                    low, high = sketches(some, gram)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((np.int64(number) << 40) ^ keys), pa.array(ids[start : start + 4096][places]), pa.array(np.full(len(places), number, np.int32))],
-                        ["key", "id", "f"],
+                        [pa.array((np.int64(number) << 42) | keys), pa.array(ids[start : start + 4096][places]), pa.array(low[places]), pa.array(high[places])],
+                        ["key", "id", "low", "high"],
                     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
         if not got:
             return
-        keys, ids, fields = (np.concatenate(x) for x in zip(*got))
+        keys, ids, low, high = (np.concatenate(x) for x in zip(*got))
         del got
-        for number in np.unique(fields):
-            mine = fields == number
-            for a, b in pairs_of_keys(keys[mine], ids[mine]):
+        for number in np.unique(keys >> 42):
+            mine = np.flatnonzero(keys >> 42 == number)
+            row, key = decoded(keys[mine] & ((1 << 42) - 1))
+            row = mine[row]
+            for a, b in pairs_of_keys(key, ids[row], lambda x, y: may_be_alike(low, high, row[x], row[y], tenths)):  # noqa: B023
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(a), number, np.int32)), pa.array(a), pa.array(b)], ["f", "a", "b"]
                 )
 
+    # rows meet by field, side and anchor, and decode there: one row travels per segment, not one per key
     met = (
         classes.select("field", "id", "value")
-        .mapInArrow(emit, "key bigint, id bigint, f int")
-        .repartition(parts, "key")
+        .mapInArrow(emit, "key bigint, id bigint, low bigint, high bigint")
+        .repartition(parts, F.shiftright("key", 23))
         .mapInArrow(meet, "f int, a bigint, b bigint")
         .dropDuplicates()
     )
@@ -332,7 +385,7 @@ def class_links(classes: DataFrame, gram: int, tenths: int) -> DataFrame:
             both, either = shared_grams(left.to_pylist(), right.to_pylist(), gram)
             yield pa.array((either > 0) & (both * 10 >= either * tenths))
 
-    met = _candidates(classes, gram)
+    met = _candidates(classes, gram, tenths)
     a = classes.select("field", F.col("id").alias("a"), F.col("value").alias("left"))
     b = classes.select("field", F.col("id").alias("b"), F.col("value").alias("right"))
     return met.join(a, ["field", "a"]).join(b, ["field", "b"]).where(alike("left", "right")).select("field", "a", "b")
@@ -346,7 +399,7 @@ def near_duplicate_pairs(df: DataFrame, gram: int = 5, tenths: int = 6) -> DataF
 
     Exact copies become one class before anything else. Each class gets Golay fuzzy keys (see
     :func:`fuzzy_keys`): of any two alike values most substrings agree, so among the anchors of
-    least rank (at least 6, one place in 9) some are common to both, and of their two segments
+    least rank (at least 7, one place in 7) some are common to both, and of their two segments
     at least one lies on the side away from the next edit; up to two wrong bits in it are
     borne by the code. Classes that share a key are verified exactly on whole texts. No
     bucket is capped. Copies pair with each other and with all rows of alike classes.
