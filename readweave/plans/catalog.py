@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readweave.plans import problems
+from readweave.plans import problems, reference
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return problems.QUERIES | reference.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.SQL)
+    return problems.SQL | reference.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p1_reads(spark, sf_dir)
+    return reference.summary_table(spark, sf_dir)
