@@ -16,6 +16,7 @@ from readweave.operators.filters import FilterConfig, filtered_counts, with_reas
 from readweave.operators.library import match_regions
 from readweave.operators.observe import count_combinations, merge_counts, observed_regions, preaggregate_reads
 from readweave.operators.spec import LibrarySpec
+from readweave.session import cut
 
 
 @dataclass
@@ -53,13 +54,15 @@ class Counts:
         """Match all observed regions to the compiled library and classify the combinations."""
         if self.spec is None:
             raise OptionError("a library needs a specification")
+        # combinations feed the search and all four outputs
+        self = replace(self, combinations=cut(self.combinations))
         n = int(library.agg(F.max("sublib")).first()[0] or 0) + 1
         if self.region_ids:
             matches = match_regions(observed_regions(self.combinations, self.spec), library, self.spec, metric, max_distance, max_matches)
             matched = c.with_matches(self.combinations, matches, self.region_ids)
         else:
             matched = self.combinations
-        return replace(self, classified=c.classify(matched, self.region_ids, n), with_variants=with_variants, n_sublibs=n)
+        return replace(self, classified=cut(c.classify(matched, self.region_ids, n)), with_variants=with_variants, n_sublibs=n)
 
     def counts(self) -> DataFrame:
         return outputs.counts_table(self.classified if self.compared else self.combinations, self.region_ids, self.compared, self.with_variants)

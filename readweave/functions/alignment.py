@@ -33,29 +33,25 @@ class Scorer:
 def _fill(x: np.ndarray, y: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, free_ends: bool):
     """Best scores of all prefixes: any end, ending in an insertion, ending in a deletion.
 
-    ``x`` holds one read per row, ``y`` is the template, or one template per row. A gap of k
-    bases costs gap_open + k * gap_extend. With ``free_ends`` unaligned template ends are free.
+    ``x`` holds one read per row (padded ends change nothing before them), ``y`` is the
+    template. A gap of k bases costs gap_open + k * gap_extend. With ``free_ends`` unaligned template ends are free.
     """
     n, width = x.shape
-    m = y.shape[-1]
+    m = len(y)
     best = np.full((width + 1, m + 1, n), _LOW, np.int32)
     ins, dele = best.copy(), best.copy()
-    best[0, 0] = 0
-    if free_ends:
-        best[0, :] = 0
-    else:
-        dele[0, 1:] = (gap_open + gap_extend * np.arange(1, m + 1))[:, None]
+    first, steps = gap_open + gap_extend, gap_extend * np.arange(m + 1, dtype=np.int32)[:, None]
+    best[0] = 0
+    if not free_ends:
+        dele[0, 1:] = gap_open + steps[1:]
         best[0, 1:] = dele[0, 1:]
-    first = gap_open + gap_extend
-    ys = [y[j] if y.ndim == 1 else y[:, j] for j in range(m)]
     for i in range(1, width + 1):
-        ins[i] = np.maximum(best[i - 1] + first, ins[i - 1] + gap_extend)
-        best[i, 0] = ins[i, 0]
-        xi = x[:, i - 1]
-        for j in range(1, m + 1):
-            d = np.maximum(best[i, j - 1] + first, dele[i, j - 1] + gap_extend)
-            dele[i, j] = d
-            best[i, j] = np.maximum(np.maximum(best[i - 1, j - 1] + table[xi, ys[j - 1]], ins[i, j]), d)
+        np.maximum(best[i - 1] + first, ins[i - 1] + gap_extend, out=ins[i])
+        row = ins[i].copy()
+        np.maximum(row[1:], best[i - 1, :-1] + table[x[:, i - 1][None, :], y[:, None]], out=row[1:])
+        # the best deletion up to each place opens at the best earlier one: a running maximum
+        dele[i, 1:] = np.maximum.accumulate(row - steps, axis=0)[:-1] + (first + steps[:-1])
+        np.maximum(row, dele[i], out=best[i])
     return best, ins, dele
 
 
@@ -92,21 +88,21 @@ def semiglobal(reads: Sequence[str], template: str, scorer: Scorer, block: int =
     y = np.frombuffer(template.encode(), np.uint8)
     out: list = [(0, [])] * len(reads)
     raw = [r.encode("latin-1", "replace") for r in reads]
-    by_length: dict[int, list[int]] = {}
-    for at, r in enumerate(raw):
-        by_length.setdefault(len(r), []).append(at)
-    for length, places in by_length.items():
-        if length == 0:
-            continue
-        size = max(1, min(block, (1 << 24) // max(1, (length + 1) * (len(y) + 1))))
-        for start in range(0, len(places), size):
-            some = places[start : start + size]
-            x = np.frombuffer(b"".join(raw[i] for i in some), np.uint8).reshape(len(some), length)
-            best, ins, dele = _fill(x, y, table, scorer.gap_open, scorer.gap_extend, True)
-            ends = best[length].argmax(0)
-            for k, i in enumerate(some):
-                path = _trace(raw[i], y.tobytes(), best[:, :, k], ins[:, :, k], dele[:, :, k], table, scorer.gap_open, scorer.gap_extend, int(ends[k]), True)
-                out[i] = (int(best[length, ends[k], k]), path)
+    order = sorted((i for i, r in enumerate(raw) if r), key=lambda i: len(raw[i]))
+    start = 0
+    while start < len(order):
+        longest = len(raw[order[min(start + block, len(order)) - 1]])
+        size = max(1, min(block, (1 << 23) // ((longest + 1) * (len(y) + 1))))
+        some = order[start : start + size]
+        start += size
+        width = len(raw[some[-1]])
+        x = np.array([raw[i] for i in some], dtype=f"S{width}").view(np.uint8).reshape(len(some), width)
+        best, ins, dele = _fill(x, y, table, scorer.gap_open, scorer.gap_extend, True)
+        for k, i in enumerate(some):
+            ends = best[len(raw[i]), :, k]
+            end = int(ends.argmax())
+            path = _trace(raw[i], y.tobytes(), best[:, :, k], ins[:, :, k], dele[:, :, k], table, scorer.gap_open, scorer.gap_extend, end, True)
+            out[i] = (int(ends[end]), path)
     return out
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,11 +59,8 @@ def classify(matched: DataFrame, region_ids: list[str], n_sublibs: int) -> DataF
     distance = reduce(lambda a, b: a + b, [F.coalesce(u["distance"], F.lit(0)) for u in used], F.lit(0).cast("bigint"))
     sets = []
     for k in range(n_sublibs):
-        acc = F.lit(None).cast("array<string>")
-        for u in used:
-            own = F.when(u["sublib"] == k, u["ids"])
-            acc = F.when(own.isNull(), acc).when(acc.isNull(), own).otherwise(F.array_intersect(acc, own))
-        sets.append(acc)
+        own = F.array_compact(F.array(*[F.when(u["sublib"] == k, u["ids"]) for u in used])) if used else F.array().cast("array<array<string>>")
+        sets.append(F.when(F.size(own) > 0, F.aggregate(own, F.get(own, F.lit(0)), lambda x, y: F.array_intersect(x, y))))
     id_sets = F.array(*sets) if sets else F.array().cast("array<array<string>>")
     touched = F.exists(id_sets, lambda s: s.isNotNull())
     empty = F.exists(id_sets, lambda s: s.isNotNull() & (F.size(s) == 0))
@@ -158,9 +157,7 @@ def library_counts(classified: DataFrame, region_ids: list[str]) -> DataFrame:
 
 
 @F.arrow_udf(T.StringType())
-def _variants(parts):
-    import pyarrow as pa
-
+def _variants(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     cache: dict = {}
     for seqs, kinds, expected, distances in parts:
         out = []

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from readweave.errors import LibraryError, OptionError
 from readweave.functions.exprs import CENTER, COMPLETE, OVERLAP, PARTIAL3, PARTIAL5, hamming
 from readweave.operators.spec import LibrarySpec
+from readweave.session import cut
 
 METRICS = ("exact", "hamming", "levenshtein", "bounded-levenshtein")
 FULL, HEAD, TAIL = "full", "head", "tail"
@@ -141,26 +142,21 @@ def lookup(probes: DataFrame, library: DataFrame, metric: str, max_distance: int
     """
     if metric not in METRICS:
         raise OptionError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
-    probes = probes.where(F.col("seq").isNotNull()).select("region_id", "seq", "anchor").dropDuplicates()
+    # both tables are read by every branch below, so they are made once
+    probes = cut(probes.where(F.col("seq").isNotNull()).select("region_id", "seq", "anchor").dropDuplicates())
+    library = cut(library)
     targets = library.select("region_id", "seq")
     exact = _exact(probes, targets)
     rest = probes.join(exact.select("region_id", "seq", "anchor"), ["region_id", "seq", "anchor"], "left_anti")
-    found = [exact]
-    default = 0 if metric == "exact" else max_distance
-    limits: dict[int, list[str]] = {}
-    special = distances or {}
-    for r, d in special.items():
-        limits.setdefault(0 if metric == "exact" else d, []).append(r)
-    plan: list[tuple[int, Column]] = [(d, F.col("region_id").isin(rs)) for d, rs in limits.items()]
-    plan.append((default, ~F.col("region_id").isin(list(special)) if special else F.lit(True)))
-    for distance, some in plan:
-        for anchor in (FULL, HEAD, TAIL):
-            if metric == "exact" and anchor == FULL:
-                continue
-            found.append(_near(rest.where(some), targets.where(some), anchor, "hamming" if metric == "exact" else metric, distance))
-    hits = found[0]
-    for f in found[1:]:
-        hits = hits.unionByName(f)
+    hits, limits = exact, distances or {}
+    branches: dict[tuple[str, int], list[str]] = {}
+    for row in probes.select("region_id", "anchor").dropDuplicates().collect():  # regions times three at most
+        limit = 0 if metric == "exact" else limits.get(row["region_id"], max_distance)
+        if metric != "exact" or row["anchor"] != FULL:
+            branches.setdefault((row["anchor"], limit), []).append(row["region_id"])
+    for (anchor, limit), regions in sorted(branches.items()):
+        some = F.col("region_id").isin(regions)
+        hits = hits.unionByName(_near(rest.where(some), targets.where(some), anchor, "hamming" if metric == "exact" else metric, limit))
     best = hits.groupBy("region_id", "seq", "anchor").agg(F.min("distance").alias("distance"))
     best = hits.join(best, ["region_id", "seq", "anchor", "distance"])
     ids = library.select("region_id", F.col("seq").alias("hit"), "ids")
@@ -194,6 +190,7 @@ def match_regions(
     Fragments on either side of a gap are looked up apart, each with its own nearest hits, and
     what both hit counts, at the sum of the distances.
     """
+    regions, library = cut(regions), cut(library)
     probes = probes_of(regions)
     found = lookup(probes.select("region_id", F.col("piece").alias("seq"), "anchor"), library, metric, max_distance, spec.max_distances())
     found = found.select("region_id", F.col("seq").alias("piece"), "anchor", "distance", "hits")

@@ -19,7 +19,7 @@ from readweave.operators.observe import count_combinations, merge_counts, observ
 from readweave.operators.outputs import sort_by_total
 from readweave.operators.records import clean_sequence
 from readweave.operators.spec import LibrarySpec
-from readweave.session import table
+from readweave.session import cut, table
 
 #: The construct of the reads.
 SPEC = LibrarySpec.from_dict({
@@ -158,7 +158,7 @@ def library_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _probes(spark: SparkSession, d: str, name: str, anchor: str, size: int | None = None) -> DataFrame:
-    seq = clean_sequence(table(spark, d, "expected")[name])
+    seq = clean_sequence(F.col(name))
     if size is not None:
         seq = F.substr(seq, F.lit(1), F.lit(size)) if anchor == HEAD else F.right(seq, F.lit(size))
     return table(spark, d, "expected").select(F.lit(name).alias("region_id"), seq.alias("seq"), F.lit(anchor).alias("anchor"))
@@ -184,9 +184,9 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, d: str, lib: DataFrame, n: int = 1, metric: str = "hamming") -> DataFrame:
-    combos = _regions(spark, d)
+    combos = cut(_regions(spark, d))
     matches = match_regions(observed_regions(combos, SPEC), lib, SPEC, metric, 3, 10)
-    return c.classify(c.with_matches(combos, matches, ["region1", "region2"]), ["region1", "region2"], n)
+    return cut(c.classify(c.with_matches(combos, matches, ["region1", "region2"]), ["region1", "region2"], n))
 
 
 def overmatched(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +197,7 @@ def overmatched(spark: SparkSession, d: str) -> DataFrame:
 
 def merge_matches(spark: SparkSession, d: str) -> DataFrame:
     """Regions of which ten bases at either end were seen."""
-    seq = clean_sequence(table(spark, d, "expected")["region1"])
+    seq = clean_sequence(F.col("region1"))
     gap = F.concat(F.substr(seq, F.lit(1), F.lit(10)), F.lit("/"), F.right(seq, F.lit(10)))
     rows = table(spark, d, "expected").where("region1 is not null").select(
         F.lit("region1").alias("region_id"), gap.alias("seq"), F.lit("missing_center").alias("kind"), F.lit(10).alias("split")
@@ -346,18 +346,18 @@ def _pattern(source: str, tolerance: int) -> str:
     def fits(flank: str) -> str:
         return f"list_filter(range(1, CAST(greatest(length(s) - 6, 1) AS BIGINT)), lambda i: hamming(substr(s, CAST(i AS BIGINT), 8), '{flank}') <= {tolerance})"
 
-    first = lambda places, at: f"list_min(list_filter({places}, lambda i: i >= {at}))"
+    first = lambda places, start: f"list_min(list_filter({places}, lambda i: i >= {start}))"
     return f"""
 src AS ({source}),
 w AS (SELECT read_no, s, {fits('CAGCCCGG')} AS b1, {fits('GGATCTAG')} AS a1, {fits('CTGCGTCA')} AS b2, {fits('CAGTGACT')} AS a2 FROM src),
 o AS (SELECT *, least(list_min(b1) * 4, list_min(a1) * 4 + 1, list_min(b2) * 4 + 2, list_min(a2) * 4 + 3) AS code FROM w),
-p AS (SELECT *, code // 4 AS at, code % 4 AS what FROM o),
-q AS (SELECT *, CASE WHEN what = 0 THEN {first('a1', 'at + 8')} WHEN what = 1 THEN at END AS close1 FROM p),
-t AS (SELECT *, CASE WHEN what <= 1 THEN {first('b2', 'close1')} WHEN what = 2 THEN at END AS open2 FROM q),
+p AS (SELECT *, code // 4 AS pos, code % 4 AS what FROM o),
+q AS (SELECT *, CASE WHEN what = 0 THEN {first('a1', 'pos + 8')} WHEN what = 1 THEN pos END AS close1 FROM p),
+t AS (SELECT *, CASE WHEN what <= 1 THEN {first('b2', 'close1')} WHEN what = 2 THEN pos END AS open2 FROM q),
 z AS (SELECT *, {first('a2', 'open2 + 8')} AS close2 FROM t)
 SELECT read_no,
-  CASE WHEN what = 0 AND close1 IS NULL THEN substr(s, at + 8) || '^' WHEN what = 0 THEN substr(s, at + 8, close1 - at - 8) WHEN what = 1 THEN '^' || substr(s, 1, at - 1) END AS region1,
-  CASE WHEN what = 3 THEN '^' || substr(s, 1, at - 1) WHEN open2 IS NULL THEN NULL WHEN close2 IS NULL THEN substr(s, open2 + 8) || '^' ELSE substr(s, open2 + 8, close2 - open2 - 8) END AS region2
+  CASE WHEN what = 0 AND close1 IS NULL THEN substr(s, pos + 8) || '^' WHEN what = 0 THEN substr(s, pos + 8, close1 - pos - 8) WHEN what = 1 THEN '^' || substr(s, 1, pos - 1) END AS region1,
+  CASE WHEN what = 3 THEN '^' || substr(s, 1, pos - 1) WHEN open2 IS NULL THEN NULL WHEN close2 IS NULL THEN substr(s, open2 + 8) || '^' ELSE substr(s, open2 + 8, close2 - open2 - 8) END AS region2
 FROM z
 """
 
@@ -405,8 +405,8 @@ _STATUS = f"""
 k AS (SELECT o.*, m1.d AS d1, m1.n AS n1, m1.ids AS ids1, m1.hits AS hits1, m2.d AS d2, m2.n AS n2, m2.ids AS ids2, m2.hits AS hits2
   FROM o LEFT JOIN m1 ON o.region1 = m1.seq LEFT JOIN m2 ON o.region2 = m2.seq),
 j AS (SELECT *, CASE WHEN region1 IS NULL THEN 'nonmatch' WHEN n1 IS NULL OR n1 > 10 THEN 'mismatch' WHEN region2 IS NULL THEN 'nonmatch'
-  WHEN n2 IS NULL OR n2 > 10 THEN 'mismatch' END AS early, list_sort(list_intersect(ids1, ids2)) AS both FROM k),
-st AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN len(both) = 0 THEN 'recombination' WHEN len(both) = 1 THEN 'match' ELSE 'multimatch' END AS status FROM j)
+  WHEN n2 IS NULL OR n2 > 10 THEN 'mismatch' END AS early, list_sort(list_intersect(ids1, ids2)) AS common FROM k),
+st AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN len(common) = 0 THEN 'recombination' WHEN len(common) = 1 THEN 'match' ELSE 'multimatch' END AS status FROM j)
 """
 
 SQL = {
@@ -451,15 +451,15 @@ UNION ALL SELECT 'region2', coalesce(n, 0) FROM (SELECT DISTINCT region2 AS seq
 SELECT region_id, CASE WHEN n = 0 THEN 'unmatched' WHEN n = 1 THEN 'match' ELSE 'overmatched' END AS match, CAST(count(*) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS hits FROM u GROUP BY 1, 2""",
     "combination_status": f"""WITH {_OWN}, {_region_matches()}, {_STATUS} SELECT grp AS "group", region1, region2, status, count,
 CAST(CASE WHEN status IN ('match', 'multimatch', 'recombination') THEN d1 + d2 END AS BIGINT) AS combination_distance,
-CAST(CASE WHEN status IN ('match', 'multimatch') THEN len(both) ELSE 0 END AS BIGINT) AS combinations_in_library,
-CASE WHEN status IN ('match', 'multimatch') THEN array_to_string(both, ',') END AS combination_id FROM st""",
+CAST(CASE WHEN status IN ('match', 'multimatch') THEN len(common) ELSE 0 END AS BIGINT) AS combinations_in_library,
+CASE WHEN status IN ('match', 'multimatch') THEN array_to_string(common, ',') END AS combination_id FROM st""",
     "multi_sublibrary_product": f"""WITH {_OWN}, {_region_matches()}, {_STATUS}, z AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN len(ids1) <= 1 AND len(ids2) <= 1 THEN 'match' ELSE 'multimatch' END AS s2 FROM j)
 SELECT grp AS "group", region1, region2, s2 AS status, count, CAST(CASE WHEN early IS NULL THEN d1 + d2 END AS BIGINT) AS combination_distance,
 CAST(CASE WHEN early IS NULL THEN len(ids1) * len(ids2) ELSE 0 END AS BIGINT) AS combinations_in_library,
 CASE WHEN early IS NULL THEN array_to_string(ids1, ',') || '/' || array_to_string(ids2, ',') END AS combination_id FROM z""",
     "library_counts": f"""WITH {_OWN}, {_region_matches()}, {_STATUS},
 g AS (SELECT grp, CASE WHEN n1 <= 10 THEN hits1 END AS region1, CASE WHEN n2 <= 10 THEN hits2 END AS region2, coalesce(n1 > 10, false) AS o1, coalesce(n2 > 10, false) AS o2,
-  CAST(sum(count) AS BIGINT) AS count, arg_min(struct_pack(s := status, b := both), CASE WHEN status = 'mismatch' THEN 0 ELSE 1 END) AS x FROM st GROUP BY 1, 2, 3, 4, 5)
+  CAST(sum(count) AS BIGINT) AS count, arg_min(struct_pack(s := status, b := common), CASE WHEN status = 'mismatch' THEN 0 ELSE 1 END) AS x FROM st GROUP BY 1, 2, 3, 4, 5)
 SELECT grp AS "group", region1, region2, CASE WHEN x.s = 'multimatch' THEN 'match' ELSE x.s END AS combination_status,
 CAST(CASE WHEN x.s IN ('match', 'multimatch') THEN len(x.b) ELSE 0 END AS BIGINT) AS combinations_in_library,
 CASE WHEN x.s IN ('match', 'multimatch') THEN array_to_string(x.b, ',') END AS combination_id, count FROM g""",
@@ -475,8 +475,8 @@ cat AS (SELECT 'unfiltered' AS g, CASE status WHEN 'match' THEN CASE WHEN d1 + d
   WHEN 'recombination' THEN CASE WHEN d1 + d2 = 0 THEN 'exact_recombination' ELSE 'nearest_recombination' END ELSE status END AS m, sum(count) AS n FROM st GROUP BY 1, 2
   UNION ALL SELECT 'filtered', reason, count(*) FROM dd WHERE reason IS NOT NULL GROUP BY 1, 2),
 al AS (SELECT * FROM cat UNION ALL SELECT g, 'total', sum(n) FROM cat GROUP BY 1 UNION ALL SELECT 'all', 'total', sum(n) FROM cat),
-rows AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{g}', '{m}')" for i, (g, m) in enumerate(c.SUMMARY_ROWS))}) t(row_no, g, m)),
-f AS (SELECT row_no, g, m, coalesce(n, 0) AS n FROM rows LEFT JOIN al USING (g, m)),
+rr AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{g}', '{m}')" for i, (g, m) in enumerate(c.SUMMARY_ROWS))}) t(row_no, g, m)),
+f AS (SELECT row_no, g, m, coalesce(n, 0) AS n FROM rr LEFT JOIN al USING (g, m)),
 tot AS (SELECT g, n AS t FROM f WHERE m = 'total'), every AS (SELECT n AS a FROM f WHERE g = 'all')
 SELECT CAST(row_no AS INTEGER) AS row_no, g AS "group", m AS metric, CAST(n AS BIGINT) AS count, round(CASE WHEN a = 0 THEN 0.0 ELSE CAST(n AS DOUBLE) / a END, 9) AS overall_proportion,
 round(CASE WHEN t = 0 THEN 0.0 ELSE CAST(n AS DOUBLE) / t END, 9) AS group_proportion FROM f JOIN tot USING (g), every""",
