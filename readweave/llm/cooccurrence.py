@@ -86,7 +86,8 @@ def surprise(n12: np.ndarray, q: np.ndarray, baskets: np.ndarray) -> np.ndarray:
         log_sf = _log_upper_normal(w)
         log_pdf = -0.5 * w * w - 0.5 * math.log(2 * math.pi)
         log_p = log_sf + np.log(np.maximum(1 + np.exp(log_pdf - log_sf) * (1 / u - 1 / w), 1e-12))
-        log_p = np.where(close, math.log(0.5), log_p)
+        # at the mean the formula is 0 / 0; there the normal with half a step of correction serves
+        log_p = np.where(close, _log_upper_normal((k - 0.5 - mean) / np.sqrt(spread)), log_p)
     log_p = np.where(k <= 0, 0.0, log_p)
     return np.maximum(-np.minimum(log_p, 0.0) / math.log(10), 0.0)
 
