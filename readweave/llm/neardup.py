@@ -25,6 +25,11 @@ LEAST, EVERY = 7, 7
 MOVED = 48
 #: Texts below this length also meet by their single grams.
 SHORT = 16
+#: An anchor that more than one text in COMMON holds, and LARGE texts besides, may be part of a fixed piece.
+COMMON, LARGE = 200, 500
+#: Of a text with fixed pieces at most this share of anchors, in tenths, is marked; a family's texts have more.
+PIECES = 5
+FIXED = 1 << 24
 _BUCKETS = 1 << (2 * ANCHOR)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Marks keys that are compared as they are; others hold side, anchor and word in 41 bits.
@@ -75,28 +80,48 @@ def _by_length(texts: list[bytes], cells: int = 1 << 20) -> Iterator[np.ndarray]
 
 
 def anchor_counts(texts: list[bytes]) -> np.ndarray:
-    """How often each of the 65,536 anchors occurs."""
+    """How many of the texts hold each of the 65,536 anchors."""
     out = np.zeros(_BUCKETS, np.int64)
     for block in _by_length(texts):
         codes, _, lens = _letters([texts[i] for i in block], 0)
         n = max(int(lens.max()) - ANCHOR + 1, 1)
         anchors = _windows(codes, 0, n, ANCHOR)
-        out += np.bincount(anchors[np.arange(n) < np.maximum(lens - ANCHOR + 1, 1)[:, None]], minlength=_BUCKETS)
+        anchors[np.arange(n) >= np.maximum(lens - ANCHOR + 1, 1)[:, None]] = _BUCKETS
+        anchors.sort(axis=1)
+        anchors[:, 1:][anchors[:, 1:] == anchors[:, :-1]] = _BUCKETS
+        out += np.bincount(anchors.ravel(), minlength=_BUCKETS + 1)[:_BUCKETS]
     return out
 
 
-def anchor_ranks(counts: np.ndarray) -> np.ndarray:
-    """The order in which anchors are chosen: at random, but those clearly commoner than the mean last."""
+def anchor_ranks(counts: np.ndarray, texts: int) -> np.ndarray:
+    """The order in which anchors are chosen: by hash, whatever the counts; FIXED marks those of fixed pieces.
+
+    The mark is for primers and what overlaps them. It is heeded only in texts that are not
+    made of marked anchors (see :func:`fuzzy_keys`), so a family of near duplicates keeps the
+    anchors its members share, however large its part of all texts."""
     ids = np.arange(_BUCKETS, dtype=np.uint64)
     ranks = (((ids + np.uint64(1)) * _MIX) >> np.uint64(40)).astype(np.int64)
-    mean = counts.sum() / _BUCKETS
-    common = counts > 1.03 * mean + np.sqrt(mean) + 2
-    return np.where(common, (1 << 24) * (1 + np.ceil(np.log2(np.maximum(counts, 1)))).astype(np.int64) + ranks, ranks)
+    return np.where(counts * COMMON > texts + LARGE * COMMON, FIXED | ranks, ranks)
+
+
+def _least(order: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``chosen`` least ranks of each row."""
+    n = order.shape[1]
+    most = min(int(chosen.max()), n)
+    at = np.argpartition(order, most - 1, axis=1)[:, :most] if most < n else np.tile(np.arange(n), (len(order), 1))
+    ranked = np.take_along_axis(order, at, 1)
+    by_rank = np.argsort(ranked, axis=1, kind="stable")
+    at, ranked = np.take_along_axis(at, by_rank, 1), np.take_along_axis(ranked, by_rank, 1)
+    row, col = np.nonzero((ranked < (np.int64(1) << 60)) & (np.arange(most) < chosen[:, None]))
+    return row, at[row, col]
 
 
 def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(place of the text, segment) rows of a batch.
 
+    Anchors are chosen by :func:`anchor_ranks`, those of fixed pieces after all others; a text
+    made of marked anchors belongs to a family, and has as many again without heed to marks.
+
     A text's fingerprint is the list of its chosen anchors, each with the segment of 11
     letters before and after it as 23-bit words. A row holds side, anchor and word; what the
     word decodes to is worked out where equal anchors meet (:func:`decoded`). Letters differ by
@@ -108,15 +133,14 @@ def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.nda
         n = max(int(lens.max()) - ANCHOR + 1, 1)
         anchors = _windows(codes, SEGMENT, n, ANCHOR)
         usable = np.maximum(lens - ANCHOR + 1, 1)
-        order = np.where(np.arange(n) < usable[:, None], ranks[anchors], np.int64(1) << 60)
+        inside = np.arange(n) < usable[:, None]
+        order = np.where(inside, ranks[anchors], np.int64(1) << 60)
         chosen = np.maximum(LEAST, -(-usable // EVERY))
-        most = min(int(chosen.max()), n)
-        at = np.argpartition(order, most - 1, axis=1)[:, :most] if most < n else np.tile(np.arange(n), (len(block), 1))
-        ranked = np.take_along_axis(order, at, 1)
-        by_rank = np.argsort(ranked, axis=1, kind="stable")
-        at, ranked = np.take_along_axis(at, by_rank, 1), np.take_along_axis(ranked, by_rank, 1)
-        row, col = np.nonzero((ranked < (np.int64(1) << 60)) & (np.arange(most) < chosen[:, None]))
-        at = at[row, col]
+        row, at = _least(order, chosen)
+        family = np.flatnonzero(((order & FIXED) > 0).sum(1) * 10 > usable * PIECES)
+        if len(family):
+            more, there = _least(order[family] & ~np.int64(FIXED), chosen[family])
+            row, at = np.divmod(np.unique(np.r_[row * n + at, family[more] * n + there]), n)
         anchor = anchors[row, at]
         rest = lens[row] - at - ANCHOR
         before, after = (at < SEGMENT) & (at >= PART), (rest < SEGMENT) & (rest >= PART)
@@ -215,6 +239,20 @@ def _order_free(codes: np.ndarray, lens: np.ndarray, gram: int) -> tuple[np.ndar
     return np.concatenate(places), np.concatenate(keys)
 
 
+def cells(keys: np.ndarray, ids: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of all rows, ``split`` times for those whose anchor is split in so many parts.
+
+    A row of part p goes to the cells {p, q} of all parts q, so any two rows share a cell."""
+    times = np.where(keys & EXACT, 1, split[(keys >> 23) & (_BUCKETS - 1)])
+    if (times == 1).all():
+        return np.arange(len(keys)), np.zeros(len(keys), np.int32)
+    row = np.repeat(np.arange(len(keys)), times)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    part = (((ids.astype(np.uint64) * _MIX) >> np.uint64(40)) % times.astype(np.uint64)).astype(np.int64)[row]
+    low, high = np.minimum(part, other), np.maximum(part, other)
+    return row, (high * (high + 1) // 2 + low).astype(np.int32)
+
+
 def hash_gram(gram: bytes) -> int:
     """A key of one gram, apart from the keys of anchors."""
     value = int.from_bytes(gram[:7], "big") * 0x9E3779B97F4A7C15 % (1 << 64)
@@ -308,55 +346,57 @@ def _candidates(classes: DataFrame, gram: int, tenths: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
+        rows: dict[str, np.ndarray] = {}
         for batch in batches:
             frame = batch.to_pandas()
             for field, part in frame.groupby("field"):
                 texts = [t.encode() for t in part["value"]]
                 sums[field] = sums.get(field, 0) + anchor_counts(texts)
-                rows[field] = rows.get(field, 0) + sum(3 * max(LEAST, -(-len(t) // EVERY)) for t in texts)
+                rows[field] = rows.get(field, 0) + np.array([sum(3 * max(LEAST, -(-len(t) // EVERY)) for t in texts), len(texts)])
         for field, c in sums.items():
             used = np.flatnonzero(c)
             yield pa.RecordBatch.from_pandas(
-                pd.DataFrame({"field": field, "anchor": np.r_[-1, used], "n": np.r_[rows[field], c[used]]}), preserve_index=False
+                pd.DataFrame({"field": field, "anchor": np.r_[-1, -2, used], "n": np.r_[rows[field], c[used]]}), preserve_index=False
             )
 
     # 65,536 counts per field at most, whatever the input holds
     counted = classes.select("field", "value").mapInArrow(count, "field string, anchor bigint, n bigint").groupBy("field", "anchor").agg(F.sum("n").alias("n")).toPandas()
-    ranks: dict[str, tuple[int, np.ndarray]] = {}
+    ranks: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
     for at, (field, part) in enumerate(sorted(counted.groupby("field"), key=lambda x: x[0])):
         counts = np.zeros(_BUCKETS, np.int64)
         inner = part[part["anchor"] >= 0]
         counts[inner["anchor"].to_numpy()] = inner["n"].to_numpy()
-        ranks[field] = (at, anchor_ranks(counts))
+        ranks[field] = (at, anchor_ranks(counts, int(part.loc[part["anchor"] == -2, "n"].sum())), counts // ROWS + 1)
     shared = spark.sparkContext.broadcast(ranks)
-    rows = int(counted.loc[counted["anchor"] < 0, "n"].sum()) if len(counted) else 0
+    rows = int(counted.loc[counted["anchor"] == -1, "n"].sum()) if len(counted) else 0
     parts = max(shuffle_partitions(spark), rows // ROWS + 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frame = batch.to_pandas()
             for field, part in frame.groupby("field"):
-                number, order = shared.value[field]
+                number, order, split = shared.value[field]
                 ids = part["id"].to_numpy()
                 texts = [t.encode() for t in part["value"]]
                 for start in range(0, len(texts), 4096):
                     some = texts[start : start + 4096]
                     places, keys = fuzzy_keys(some, order, gram)
                     low, high = sketches(some, gram)
+                    which, cell = cells(keys, ids[start : start + 4096][places], split)
+                    places, keys = places[which], keys[which]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((np.int64(number) << 42) | keys), pa.array(ids[start : start + 4096][places]), pa.array(low[places]), pa.array(high[places])],
-                        ["key", "id", "low", "high"],
+                        [pa.array((np.int64(number) << 42) | keys), pa.array(ids[start : start + 4096][places]), pa.array(low[places]), pa.array(high[places]), pa.array(cell)],
+                        ["key", "id", "low", "high", "cell"],
                     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches]
         if not got:
             return
-        keys, ids, low, high = (np.concatenate(x) for x in zip(*got))
+        keys, ids, low, high, cell = (np.concatenate(x) for x in zip(*got))
         del got
-        for number in np.unique(keys >> 42):
-            mine = np.flatnonzero(keys >> 42 == number)
+        for number, part in np.unique(np.c_[keys >> 42, cell], axis=0) if cell.any() else ((k, 0) for k in np.unique(keys >> 42)):
+            mine = np.flatnonzero((keys >> 42 == number) & (cell == part))
             row, key = decoded(keys[mine] & ((1 << 42) - 1))
             row = mine[row]
             for a, b in pairs_of_keys(key, ids[row], lambda x, y: may_be_alike(low, high, row[x], row[y], tenths)):  # noqa: B023
@@ -364,11 +404,12 @@ def _candidates(classes: DataFrame, gram: int, tenths: int) -> DataFrame:
                     [pa.array(np.full(len(a), number, np.int32)), pa.array(a), pa.array(b)], ["f", "a", "b"]
                 )
 
-    # rows meet by field, side and anchor, and decode there: one row travels per segment, not one per key
+    # rows meet by field, side and anchor, and decode there: one row travels per segment, not one per key;
+    # the rows of an anchor that more than ROWS texts hold are split, and every two parts of them meet
     met = (
         classes.select("field", "id", "value")
-        .mapInArrow(emit, "key bigint, id bigint, low bigint, high bigint")
-        .repartition(parts, F.shiftright("key", 23))
+        .mapInArrow(emit, "key bigint, id bigint, low bigint, high bigint, cell int")
+        .repartition(parts, F.shiftright("key", 23), "cell")
         .mapInArrow(meet, "f int, a bigint, b bigint")
         .dropDuplicates()
     )
@@ -429,7 +470,7 @@ def near_duplicate_classes(df: DataFrame, gram: int = 5, tenths: int = 6) -> Dat
     rows = _frame(df).where(F.col("key").isNotNull()).dropDuplicates()
     classes = cut(_classes(rows))
     links = class_links(classes, gram, tenths)
-    ends = links.select("field", F.col("a").alias("id")).union(links.select("field", F.col("b").alias("id")))
+    ends = links.select("field", F.explode(F.array("a", "b")).alias("id"))  # a union would find the links twice
     counts = ends.groupBy("field", "id").agg(F.count(F.lit(1)).alias("n"))
     sizes = rows.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("copies"))
     known = classes.join(sizes, ["field", "value"]).join(counts, ["field", "id"], "left")

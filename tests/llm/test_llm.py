@@ -52,6 +52,33 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
+def family(rng, size, edits=2, length=80):
+    base, out = [rng.choice("ACGT") for _ in range(length)], set()
+    while len(out) < size:
+        text = list(base)
+        for at in rng.sample(range(length), edits):
+            text[at] = rng.choice([c for c in "ACGT" if c != base[at]])
+        out.add("".join(text))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("large, rows, sizes", [(500, 300_000, (50, 300)), (0, 300_000, (50, 300)), (0, 60, (50, 300)), (0, 300_000, (400,))])
+def test_families_of_near_duplicates(spark, monkeypatch, large, rows, sizes):
+    """Members share the commonest anchors of all; 300 are a third of the texts, 400 nearly half. Marks and splits are forced."""
+    monkeypatch.setattr(neardup, "LARGE", large)
+    monkeypatch.setattr(neardup, "ROWS", rows)
+    rng = random.Random(11)
+    texts = [t for size in sizes for t in family(rng, size)]
+    texts += ["".join(rng.choice("ACGT") for _ in range(80)) for _ in range(900 - len(texts))]
+    df = spark.createDataFrame([("x", i, t) for i, t in enumerate(texts)], "field string, key bigint, value string")
+    got = {(r["key_a"], r["key_b"]) for r in neardup.near_duplicate_pairs(df).collect()}
+    a, b = np.triu_indices(len(texts), 1)
+    both, either = neardup.shared_grams([texts[i] for i in a], [texts[i] for i in b], 5)
+    alike = both * 10 >= either * 6
+    expected = set(zip(a[alike].tolist(), b[alike].tolist()))
+    assert len(expected) > 20_000 and got <= expected and len(got) >= 0.995 * len(expected)
+
+
 def test_sketches_never_part_alike_texts():
     rng = random.Random(5)
     texts = ["".join(rng.choice("ACGT") for _ in range(rng.randint(5, 90))) for _ in range(150)]
