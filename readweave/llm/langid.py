@@ -28,6 +28,8 @@ CODES = {
 LONGEST = 5
 #: Weight of a word that training did not hold.
 UNKNOWN = 0.6
+#: Posterior from which a line or run of lines of fewer words than asked for is a segment of its own.
+DECISIVE = 0.99
 CACHE = 300_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _WORDS_AND_ENDS = re.compile(r"[^\W\d_]+|\n").findall
@@ -169,8 +171,13 @@ class Labeller:
         langs = self.model.langs
         segments: list[list] = []
         best = sums.argmax(1)
-        # a line of enough words speaks for itself; a shorter one joins what comes before (or after)
-        own = (blanks >= least_words) & (sizes > 0)
+        # a line of enough words speaks for itself, and so does a shorter one or a run of them whose
+        # words decide; any other joins what comes before (or after)
+        own = (sizes > 0) & ((blanks >= least_words) | (1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1) >= DECISIVE))
+        for run in _runs(~own):
+            joint = sums[run].sum(0)
+            if sizes[run].any() and _posterior(joint, at := int(joint.argmax())) >= DECISIVE:
+                own[run], best[run] = sizes[run] > 0, at
         if not own.any():
             own = sizes > 0
             best[:] = sums.sum(0).argmax()
@@ -208,6 +215,12 @@ class Labeller:
         }
 
 
+def _runs(some: np.ndarray) -> list[slice]:
+    """Longest runs of true places."""
+    edges = np.flatnonzero(np.diff(np.r_[False, some, False])).tolist()
+    return [slice(a, b) for a, b in zip(edges[::2], edges[1::2])]
+
+
 def _posterior(score: np.ndarray, at: int) -> float:
     return float(1 / np.exp(np.minimum(score - score[at], 50.0)).sum())
 
@@ -231,8 +244,9 @@ def language_labels(spark: SparkSession, text: Column, model: Model, least_words
 
     Words known from training score by their log frequency per language; an unknown word falls
     back to its character n-grams, the longest known ones first. A line of at least
-    ``least_words`` blank-separated words is labelled by its own words; shorter lines belong to
-    the segment around them. Consecutive lines of one language form a segment, with the
+    ``least_words`` blank-separated words is labelled by its own words, and so are shorter lines,
+    alone or as a run between such lines, whose posterior is at least ``DECISIVE``; other lines
+    belong to the segment around them. Consecutive lines of one language form a segment, with the
     posterior as confidence. Lines that read like UTF-8 decoded with another charset are
     decoded anew for scoring. Texts that are null, empty or without a word have a null label.
     The model's size is bounded by the training samples, so it is broadcast.

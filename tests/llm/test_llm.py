@@ -200,3 +200,19 @@ def test_languages(spark):
     assert got[2] is None and got[3] is None and got[4] is None and got[5]["lang"] == "de"
     labels = spark.createDataFrame([("EN_gb",), ("ger",), ("xx",), (" en",), (None,), ("pt-BR",), ("english",)], "l string")
     assert [r[0] for r in labels.select(langid.named_language(F.col("l"))).collect()] == ["en", "de", None, None, None, "pt", None]
+
+
+def test_short_lines_make_segments():
+    en = ["the old ferry carries letters across the lake", "with great patience the letters cross the lake"]
+    de = ["die alte Fähre bringt Briefe über den See", "mit großer Geduld bringt die Fähre alte Briefe"]
+    labeller = langid.Labeller(langid.Model([("en", " ".join(en)), ("de", " ".join(de))]))
+
+    def segments(text):
+        return [(s["lang"], s["first_line"], s["last_line"], s["longest_line"]) for s in labeller.label(text, 12)["segments"]]
+
+    assert segments("\n".join(en + de)) == [("en", 0, 1, 8), ("de", 2, 3, 8)]
+    long = " ".join(en)
+    assert segments("\n".join([long, de[0], long])) == [("en", 0, 0, 16), ("de", 1, 1, 8), ("en", 2, 2, 16)]
+    # lines of one word decide nothing alone; a run of them does
+    assert segments("\n".join([long, "123", "zzz", long])) == [("en", 0, 3, 16)]
+    assert segments("\n".join([long, *"alte Briefe Fähre Geduld See".split(), long])) == [("en", 0, 0, 16), ("de", 1, 5, 1), ("en", 6, 6, 16)]
