@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -234,9 +234,14 @@ _ARROW = pa.struct([
 
 
 def train(samples: DataFrame, lang: str = "lang", text: str = "text", most: int = 20_000) -> Model:
-    """Train on labelled samples, at most ``most`` of them (a bound for the driver; in order of lang and text)."""
+    """Train on labelled samples, at most ``most`` of them: a bound for the driver, shared evenly.
+
+    Every language gives its samples in order of a hash, all languages in turn, so each is held
+    by as many as there is room for and none is cut off."""
     rows = samples.select(F.lower(samples[lang]).alias("l"), samples[text].alias("t")).where("l is not null and t is not null")
-    return Model((r["l"], r["t"]) for r in rows.orderBy("l", "t").limit(most).collect())
+    turn = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("t"), "t"))
+    some = rows.withColumn("turn", turn).where(F.col("turn") <= most)
+    return Model((r["l"], r["t"]) for r in some.orderBy("turn", "l").limit(most).collect())
 
 
 def language_labels(spark: SparkSession, text: Column, model: Model, least_words: int = 12) -> Column:

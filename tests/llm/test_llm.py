@@ -216,3 +216,13 @@ def test_short_lines_make_segments():
     # lines of one word decide nothing alone; a run of them does
     assert segments("\n".join([long, "123", "zzz", long])) == [("en", 0, 3, 16)]
     assert segments("\n".join([long, *"alte Briefe Fähre Geduld See".split(), long])) == [("en", 0, 0, 16), ("de", 1, 5, 1), ("en", 6, 6, 16)]
+
+
+def test_bounded_training_keeps_every_language(spark):
+    rows = [(lang, f"{lang} {word} {k:02}") for lang, word in (("de", "alte"), ("en", "old"), ("ru", "старый")) for k in range(20)] + [("pt", "velho")]
+    samples = spark.createDataFrame(rows, "lang string, text string")
+    assert langid.train(samples, most=10).langs == ["de", "en", "pt", "ru"]
+    held = langid.train(samples, most=10).tables[0]
+    assert all(w in held for w in ("alte", "old", "velho", "старый"))
+    every, same = langid.train(samples), langid.Model(rows)
+    assert every.langs == same.langs and all(np.array_equal(v, same.tables[0][w]) for w, v in every.tables[0].items())
