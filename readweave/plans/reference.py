@@ -235,9 +235,15 @@ def seq_diff_subs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hgvs_strings(spark: SparkSession, d: str) -> DataFrame:
-    """Variants with insertions and deletions."""
-    out = _classified(spark, d, library(spark, d), metric="levenshtein").where(F.length("reg_region1.seq") != 28)
-    return out.select(F.col("reg_region1.seq").alias("seq"), F.array_join("match_region1.hits", ",").alias("hit"), c.variants_column("region1").alias("variants")).dropDuplicates()
+    """Variants of all regions, those with insertions and deletions at an equal length included; null where nothing matches or all agrees."""
+    out = _classified(spark, d, library(spark, d), metric="levenshtein")
+    rows = [
+        out.where(F.col(f"reg_{r}.seq").isNotNull()).select(
+            F.lit(r).alias("region"), F.col(f"reg_{r}.seq").alias("seq"), F.array_join(f"match_{r}.hits", ",").alias("hit"), c.variants_column(r).alias("variants")
+        )
+        for r in ("region1", "region2")
+    ]
+    return rows[0].union(rows[1]).dropDuplicates()
 
 
 def sorted_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -144,3 +144,19 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("SELECT grp, f_seq, count FROM landing").collect()] == [("A", "ACGT", 2)]
+
+
+def test_hgvs_strings_of_all_regions(spark, tmp_path):
+    """A region of 28 letters with an insertion and a deletion, and region2, have their variants shown too."""
+    from readweave.plans.reference import hgvs_strings
+
+    r1, r2 = "CATCTATACAACCTAGCCGGGCCACCAA", "CGTTGACCCCAG"
+    gapped, short, sub = r1[:3] + r1[4:24] + "G" + r1[24:], r1[:10] + r1[11:], "A" + r2[1:]
+    spark.createDataFrame([(1, "kx1", r1, r2)], "member_no bigint, _id string, region1 string, region2 string").write.parquet(f"{tmp_path}/library.parquet")
+    rows = [(1, "g", gapped, sub), (2, "g", short, r2), (3, None, None, None), (4, "g", "G" * 28, None)]
+    spark.createDataFrame(rows, "rec_id bigint, grp string, region1 string, region2 string").write.parquet(f"{tmp_path}/expected.parquet")
+    got = {(r["region"], r["seq"]): (r["hit"], r["variants"]) for r in hgvs_strings(spark, str(tmp_path)).collect()}
+    assert set(got) == {("region1", gapped), ("region1", short), ("region1", "G" * 28), ("region2", sub), ("region2", r2)}
+    assert got["region1", gapped][0] == got["region1", short][0] == r1 and got["region2", sub][0] == r2
+    assert "ins" in got["region1", gapped][1] and "del" in got["region1", gapped][1] and "del" in got["region1", short][1]
+    assert ">" in got["region2", sub][1] and got["region2", r2][1] is None and got["region1", "G" * 28][1] is None
