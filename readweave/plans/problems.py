@@ -5,47 +5,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readweave.operators.badrows import read_library_lines, split_by_errors
+from readweave.operators.badrows import Field, read_delimited, split_by_errors
 from readweave.operators.eager import eager_join_aggregate
 from readweave.operators.records import distinct_records
 from readweave.session import table
 
+#: The columns of library files and the pattern every value of a column must match in whole.
+LIBRARY_FIELDS = (
+    Field("_id", pattern=r"\A[A-Za-z][A-Za-z0-9_.\-]*+\z"),
+    Field("region1", pattern=r"\A[ACGTacgt]{28}\z"),
+    Field("region2", pattern=r"\A[ACGTacgt]{12}\z"),
+    Field("spacer", pattern=r"\A[ACGTacgt]{20}\z"),
+    Field("barcode", pattern=r"\A[ACGTacgt]{10}\z"),
+    Field("note"),
+)
+
 
 def _reads_per_combination(spark: SparkSession, d: str) -> DataFrame:
-    """Reads and records of each (combination_id, grp), nulls included, joined to the library members."""
+    """Reads and records of each (combination_id, grp), nulls included, beside the reads of the whole grp.
+
+    What is asked is an aggregate over the records joined to all records of their grp, in which
+    a grp holding a third of them would meet itself; its states are joined instead. Both sides
+    are the same states, so the table is read and shuffled once.
+    """
     records = distinct_records(table(spark, d, "expected"), "combination_id", "grp", "cnt")
-    members = table(spark, d, "library")
-    return eager_join_aggregate(
-        records, members, "combination_id", "_id", ["combination_id", "grp"], "cnt", right_unique=True
+    states = records.groupBy("grp", "combination_id").agg(F.sum("cnt").alias("reads"), F.count(F.lit(1)).alias("records"))
+    both = eager_join_aggregate(
+        states, states, "grp", "grp", ["grp", "combination_id"], "reads", "reads", weight="records", right_weight="records"
+    )
+    return both.select(
+        "combination_id", "grp", F.col("left_total").alias("reads"), F.col("left_rows").alias("records"), F.expr("right_total div left_rows").alias("grp_reads")
     )
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Combinations and groups holding at least 1 % of all reads."""
+    """Combinations and groups holding at least 1 % of all reads: only groups that hold as much themselves can have them."""
     states = _reads_per_combination(spark, d)
-    total = states.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t"))
-    return states.where(
-        F.col("combination_id").isNotNull() & F.col("grp").isNotNull() & (F.col("total") * 100 >= total.scalar())
-    ).select("combination_id", "grp")
+    every = states.agg(F.coalesce(F.sum("reads"), F.lit(0)).alias("t")).scalar()
+    # a filter on the names alone would be pushed below the aggregates and part the two readings of them
+    named = F.when(F.col("combination_id").isNotNull() & F.col("grp").isNotNull(), F.col("reads"))
+    return states.where((F.col("grp_reads") * 100 >= every) & (named * 100 >= every)).select("combination_id", "grp")
 
 
 def p1_reads(spark: SparkSession, d: str) -> DataFrame:
-    """Reads and records of every combination within every group."""
+    """Reads and records of every combination within every group, beside the reads of the group."""
     states = _reads_per_combination(spark, d)
-    return states.where(F.col("combination_id").isNotNull() & F.col("grp").isNotNull()).select(
-        "combination_id", "grp", F.col("total").alias("reads"), F.col("n_rows").alias("records")
-    )
+    return states.where(F.col("combination_id").isNotNull() & F.col("grp").isNotNull())
+
+
+def _library_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return split_by_errors(read_delimited(table(spark, d, "library_lines"), LIBRARY_FIELDS), LIBRARY_FIELDS)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Failing lines with the first reason."""
-    _, failed = split_by_errors(read_library_lines(table(spark, d, "library_lines")))
-    return failed.select("file_id", "line_no", "reason")
+    return _library_lines(spark, d)[1].select("file_id", "line_no", "reason")
 
 
 def p4_valid(spark: SparkSession, d: str) -> DataFrame:
     """Valid records of the library files."""
-    valid, _ = split_by_errors(read_library_lines(table(spark, d, "library_lines")))
+    valid = _library_lines(spark, d)[0]
     return valid.select("file_id", "line_no", F.col("_id").alias("member_id"), "region1", "region2", "spacer", "barcode")
 
 
@@ -96,9 +115,9 @@ SELECT combination_id, grp FROM r, t WHERE combination_id IS NOT NULL AND grp IS
 GROUP BY combination_id, grp, t HAVING 100 * sum(cnt) >= t
 """,
     "p1_reads": f"""
-WITH r AS ({_RECORDS})
-SELECT combination_id, grp, CAST(sum(cnt) AS BIGINT) AS reads, CAST(count(*) AS BIGINT) AS records
-FROM r WHERE combination_id IS NOT NULL AND grp IS NOT NULL GROUP BY combination_id, grp
+WITH r AS ({_RECORDS}), g AS (SELECT grp, CAST(sum(cnt) AS BIGINT) AS grp_reads FROM r GROUP BY grp)
+SELECT combination_id, grp, CAST(sum(cnt) AS BIGINT) AS reads, CAST(count(*) AS BIGINT) AS records, max(grp_reads) AS grp_reads
+FROM r JOIN g USING (grp) WHERE combination_id IS NOT NULL GROUP BY combination_id, grp
 """,
     "p4_found": _LINES + "SELECT file_id, line_no, reason FROM r WHERE reason IS NOT NULL",
     "p4_valid": _LINES + "SELECT file_id, line_no, _id AS member_id, region1, region2, spacer, barcode FROM r WHERE reason IS NULL",

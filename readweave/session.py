@@ -3,23 +3,32 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from readweave.errors import OptionError
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder of the session.
 
-    A cluster names a folder all executors share in ``spark.checkpoint.dir``; only where
-    neither the setting nor the context has one (tests, local runs) a temporary folder is made.
+    A cluster names a folder all executors share in ``spark.checkpoint.dir``. Only a local
+    master, whose executors are this process, gets a temporary folder where neither the setting
+    nor the context has one; anywhere else a missing folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="readweave-checkpoint-")
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise OptionError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="readweave-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 
@@ -30,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, however many later expressions and filters use them.
+
+    A projection may be folded into every place that reads it, and repeats what it holds there; a
+    generator is not folded. It stays within generated code and moves no rows.
+    """
+    packed = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__once")
+    return df.select("*", packed).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__once")[n].alias(n) for n in columns])
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the package to the Python workers of all executors, once per Spark context.
 
