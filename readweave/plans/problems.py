@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readweave.operators.badrows import Field, read_delimited, split_by_errors
 from readweave.operators.eager import eager_join_aggregate
 from readweave.operators.records import distinct_records
-from readweave.session import table
+from readweave.session import cut, table
 
 #: The columns of library files and the pattern every value of a column must match in whole.
 LIBRARY_FIELDS = (
@@ -21,36 +21,37 @@ LIBRARY_FIELDS = (
 )
 
 
-def _reads_per_combination(spark: SparkSession, d: str) -> DataFrame:
-    """Reads and records of each (combination_id, grp), nulls included, beside the reads of the whole grp.
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    """Reads and records of each (grp, combination_id), nulls included: compact, and written once for all that reads them."""
+    records = distinct_records(table(spark, d, "expected"), "combination_id", "grp", "cnt")
+    return cut(records.groupBy("grp", "combination_id").agg(F.sum("cnt").alias("reads"), F.count(F.lit(1)).alias("records")))
+
+
+def _reads_per_combination(states: DataFrame) -> DataFrame:
+    """Reads and records of each (combination_id, grp) beside the reads of the whole grp.
 
     What is asked is an aggregate over the records joined to all records of their grp, in which
-    a grp holding a third of them would meet itself; its states are joined instead. Both sides
-    are the same states, so the table is read and shuffled once.
+    a grp holding a third of them would meet itself; its states are joined instead.
     """
-    records = distinct_records(table(spark, d, "expected"), "combination_id", "grp", "cnt")
-    states = records.groupBy("grp", "combination_id").agg(F.sum("cnt").alias("reads"), F.count(F.lit(1)).alias("records"))
     both = eager_join_aggregate(
         states, states, "grp", "grp", ["grp", "combination_id"], "reads", "reads", weight="records", right_weight="records"
     )
     return both.select(
-        "combination_id", "grp", F.col("left_total").alias("reads"), F.col("left_rows").alias("records"), F.expr("right_total div left_rows").alias("grp_reads")
-    )
+        "combination_id", "grp", F.col("left_total").alias("reads"), F.col("left_rows").alias("records"), F.expr("cast(right_total div left_rows as bigint)").alias("grp_reads")
+    ).where(F.col("combination_id").isNotNull() & F.col("grp").isNotNull())
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Combinations and groups holding at least 1 % of all reads: only groups that hold as much themselves can have them."""
-    states = _reads_per_combination(spark, d)
+    states = _states(spark, d)
     every = states.agg(F.coalesce(F.sum("reads"), F.lit(0)).alias("t")).scalar()
-    # a filter on the names alone would be pushed below the aggregates and part the two readings of them
-    named = F.when(F.col("combination_id").isNotNull() & F.col("grp").isNotNull(), F.col("reads"))
-    return states.where((F.col("grp_reads") * 100 >= every) & (named * 100 >= every)).select("combination_id", "grp")
+    found = _reads_per_combination(states).where((F.col("grp_reads") * 100 >= every) & (F.col("reads") * 100 >= every))
+    return found.select("combination_id", "grp")
 
 
 def p1_reads(spark: SparkSession, d: str) -> DataFrame:
     """Reads and records of every combination within every group, beside the reads of the group."""
-    states = _reads_per_combination(spark, d)
-    return states.where(F.col("combination_id").isNotNull() & F.col("grp").isNotNull())
+    return _reads_per_combination(_states(spark, d))
 
 
 def _library_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
