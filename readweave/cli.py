@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from readweave.api import count_reads
 from readweave.errors import OptionError, ReadweaveError
@@ -41,10 +42,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-x", "--max-distance", type=int, default=3)
     p.add_argument("-t", "--max-matches", type=int, default=10)
     p.add_argument("--skip-variants", action="store_true")
-    p.add_argument("-q", "--min-quality", type=float)
+    p.add_argument("-q", "--mean-quality-threshold", type=float)
     p.add_argument("-r", "--alignment-tolerance", type=float)
-    p.add_argument("-L", "--min-length", type=int)
-    p.add_argument("-M", "--max-length", type=int)
+    p.add_argument("-L", "--minimum-read-length", type=int)
+    p.add_argument("-M", "--maximum-read-length", type=int)
     p.add_argument("--pattern-length", type=int, default=10)
     p.add_argument("--pattern-tolerance", type=int, default=1)
     p.add_argument("--match-score", type=int, default=6)
@@ -56,13 +57,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-reads", type=int, default=0)
     p.add_argument("--default-phred", type=int, default=73)
     p.add_argument("-T", "--threads", type=int, default=1, help="local Spark threads if no session is running")
+    p.add_argument("--parts", action="store_true", help="write folders of part files by the executors instead of single files")
+    p.add_argument("--split-bytes", type=int, default=0, help="read plain single-end files in pieces of about this many bytes")
     return p
 
 
 def run(argv: list[str]) -> int:
     a = parser().parse_args(argv)
     try:
-        guard_outputs(a.output, a.overwrite)
+        guard_outputs(a.output, a.overwrite, a.parts)
         if a.library and not a.library_spec:
             raise OptionError("a library needs a specification")
         spec = None
@@ -78,19 +81,31 @@ def run(argv: list[str]) -> int:
         spark = SparkSession.builder.master(f"local[{a.threads}]").appName("readweave").getOrCreate()
         reads = read_reads(
             spark, a.forward, a.reverse, format=a.format, compression=a.compression,
-            default_phred=a.default_phred, max_reads=a.max_reads, group=a.group,
+            default_phred=a.default_phred, max_reads=a.max_reads, group=a.group, split_bytes=a.split_bytes,
         )
         scorer = Scorer(a.match_score, a.n_match_score, a.mismatch_score, a.gap_open_score, a.gap_extend_score)
         options = ExtractOptions(a.mode, a.pattern_length, a.pattern_tolerance, scorer)
-        config = FilterConfig(True, a.min_length, a.max_length, a.min_quality)
-        counts = count_reads(spark, reads, spec, options, config, a.full_seq, bool(a.reverse), a.alignment_tolerance)
+        config = FilterConfig(True, a.minimum_read_length, a.maximum_read_length, a.mean_quality_threshold)
+        if a.alignment_tolerance is not None and spec is None:
+            print("readweave: --alignment-tolerance without a specification has no effect", file=sys.stderr)
+            a.alignment_tolerance = None
+        seen = Observation("reads") if a.verbose else None
+        started = time.time()
+        counts = count_reads(
+            spark, reads, spec, options, config, a.full_seq, bool(a.reverse), a.alignment_tolerance, write_once=True, observation=seen
+        )
         if a.library:
             library = compile_library(spec, *[read_library_tsv(spark, p) for p in a.library])
             counts = counts.compare(library, a.distance_metric, a.max_distance, a.max_matches, not a.skip_variants)
-        total = counts.summary().where("row_no = 0").first()["count"]
-        if not total:
-            raise OptionError("no reads")
-        counts.write(a.output, a.sort, a.overwrite)
+        counts = counts.written()
+        if (counts.classified if counts.compared else counts.combinations).isEmpty():
+            if not counts.total_filtered():
+                raise OptionError("no reads")
+            print("readweave: all reads were filtered; check the files and the filters", file=sys.stderr)
+        if seen is not None:
+            n, took = seen.get, time.time() - started
+            print(f"readweave: {n['reads']} reads, {n['filtered']} filtered, {n['reads'] / took:.0f} reads/s", file=sys.stderr)
+        counts.write(a.output, a.sort, a.overwrite, a.parts)
     except ReadweaveError as e:
         print(f"readweave: {e}", file=sys.stderr)
         return 1

@@ -38,9 +38,13 @@ def _fill(x: np.ndarray, y: np.ndarray, table: np.ndarray, gap_open: int, gap_ex
     """
     n, width = x.shape
     m = len(y)
-    best = np.full((width + 1, m + 1, n), _LOW, np.int32)
+    # short reads fit into half the memory: no score leaves 16 bits
+    reach = (width + m + 2) * (int(np.abs(table).max()) + abs(gap_open) + abs(gap_extend))
+    kind, low = (np.int16, -15000) if reach < 15000 else (np.int32, _LOW)
+    best = np.full((width + 1, m + 1, n), low, kind)
     ins, dele = best.copy(), best.copy()
-    first, steps = gap_open + gap_extend, gap_extend * np.arange(m + 1, dtype=np.int32)[:, None]
+    first, steps = kind(gap_open + gap_extend), (gap_extend * np.arange(m + 1)).astype(kind)[:, None]
+    gap_open, gap_extend, letters = kind(gap_open), kind(gap_extend), table[:, y].T.astype(kind)
     best[0] = 0
     if not free_ends:
         dele[0, 1:] = gap_open + steps[1:]
@@ -48,7 +52,7 @@ def _fill(x: np.ndarray, y: np.ndarray, table: np.ndarray, gap_open: int, gap_ex
     for i in range(1, width + 1):
         np.maximum(best[i - 1] + first, ins[i - 1] + gap_extend, out=ins[i])
         row = ins[i].copy()
-        np.maximum(row[1:], best[i - 1, :-1] + table[x[:, i - 1][None, :], y[:, None]], out=row[1:])
+        np.maximum(row[1:], best[i - 1, :-1] + letters.take(x[:, i - 1], axis=1), out=row[1:])
         # the best deletion up to each place opens at the best earlier one: a running maximum
         dele[i, 1:] = np.maximum.accumulate(row - steps, axis=0)[:-1] + (first + steps[:-1])
         np.maximum(row, dele[i], out=best[i])
@@ -82,11 +86,40 @@ def _trace(x: bytes, y: bytes, best, ins, dele, table, gap_open: int, gap_extend
     return path
 
 
-def semiglobal(reads: Sequence[str], template: str, scorer: Scorer, block: int = 512) -> list[tuple[int, list[tuple[int, int, str]]]]:
-    """Score and path of each read, aligned whole against any part of the template."""
+def _trace_block(x: np.ndarray, lens: np.ndarray, ends: np.ndarray, y: np.ndarray, best, ins, dele, table, gap_open: int, gap_extend: int):
+    """Paths of a block of reads at once, every read one step back per round, each ending in the last column.
+
+    Returns x, y and operation codes (0 match, 1 substitution, 2 insertion, 3 deletion) and the
+    number of steps; unused columns on the left hold x = 0, y = -1.
+    """
+    n, most = len(lens), int((lens + ends).max(initial=0))
+    px, py, po = np.zeros((n, most), np.int32), np.full((n, most), -1, np.int32), np.zeros((n, most), np.int8)
+    i, j, state = lens.copy(), ends.copy(), np.zeros(n, np.int8)
+    rows, at = np.flatnonzero(i > 0), most - 1
+    while len(rows):
+        a, b, s = i[rows], j[rows], state[rows]
+        own = best[a, b, rows]
+        letter, place = x[rows, a - 1], y[np.maximum(b, 1) - 1]
+        diagonal = (s == 0) & (b > 0) & (own == best[a - 1, np.maximum(b, 1) - 1, rows] + table[letter, place])
+        s = np.where((s == 0) & ~diagonal, np.where(own == ins[a, b, rows], 2, 3), s).astype(np.int8)
+        px[rows, at], py[rows, at] = a, b
+        po[rows, at] = np.where(diagonal, letter != place, s)
+        insertion, deletion = s == 2, s == 3
+        opened = np.zeros(len(rows), bool)
+        k = np.flatnonzero(insertion)
+        opened[k] = ins[a[k], b[k], rows[k]] != ins[a[k] - 1, b[k], rows[k]] + gap_extend
+        k = np.flatnonzero(deletion)
+        opened[k] = dele[a[k], b[k], rows[k]] != dele[a[k], b[k] - 1, rows[k]] + gap_extend
+        state[rows] = np.where(opened | diagonal, 0, s)
+        i[rows], j[rows] = a - (diagonal | insertion), b - (diagonal | deletion)
+        rows, at = rows[i[rows] > 0], at - 1
+    return px, py, po, (py >= 0).sum(1)
+
+
+def _blocks(reads: Sequence[str], template: str, scorer: Scorer, block: int):
+    """Places of reads in blocks of like length, with the best scores and the paths of each block."""
     table = scorer.table()
     y = np.frombuffer(template.encode(), np.uint8)
-    out: list = [(0, [])] * len(reads)
     raw = [r.encode("latin-1", "replace") for r in reads]
     order = sorted((i for i, r in enumerate(raw) if r), key=lambda i: len(raw[i]))
     start = 0
@@ -95,27 +128,67 @@ def semiglobal(reads: Sequence[str], template: str, scorer: Scorer, block: int =
         size = max(1, min(block, (1 << 23) // ((longest + 1) * (len(y) + 1))))
         some = order[start : start + size]
         start += size
-        width = len(raw[some[-1]])
+        lens = np.array([len(raw[i]) for i in some])
+        width = int(lens[-1])
         x = np.array([raw[i] for i in some], dtype=f"S{width}").view(np.uint8).reshape(len(some), width)
         best, ins, dele = _fill(x, y, table, scorer.gap_open, scorer.gap_extend, True)
+        rows = np.arange(len(some))
+        last = best[lens, :, rows]
+        ends = last.argmax(1)
+        yield np.array(some), last[rows, ends], _trace_block(x, lens, ends, y, best, ins, dele, table, scorer.gap_open, scorer.gap_extend)
+
+
+def semiglobal(reads: Sequence[str], template: str, scorer: Scorer, block: int = 512) -> list[tuple[int, list[tuple[int, int, str]]]]:
+    """Score and path of each read, aligned whole against any part of the template."""
+    out: list = [(0, [])] * len(reads)
+    for some, scores, (px, py, po, steps) in _blocks(reads, template, scorer, block):
         for k, i in enumerate(some):
-            ends = best[len(raw[i]), :, k]
-            end = int(ends.argmax())
-            path = _trace(raw[i], y.tobytes(), best[:, :, k], ins[:, :, k], dele[:, :, k], table, scorer.gap_open, scorer.gap_extend, end, True)
-            out[i] = (int(ends[end]), path)
+            first = px.shape[1] - steps[k]
+            ops = [(MATCH, SUB, INS, DEL)[o] for o in po[k, first:]]
+            out[i] = (int(scores[k]), list(zip(px[k, first:].tolist(), py[k, first:].tolist(), ops)))
     return out
 
 
-def regions_of_path(path: list[tuple[int, int, str]], regions: Sequence[tuple[int, int]]) -> list[tuple[int, int, str] | None]:
-    """Where each template region (1-based start, exclusive end) lies in the read, and how complete it is.
-
-    Template places never fall along the path, so a region's ends are found by bisection:
-    it starts at the first step at or behind its start (behind the last base read if its own
-    first base was deleted) and ends at the first step at or behind its end. A read that begins
-    inside a region shows its 3' part; the region in which the read's last step lies ends there
-    without that base and is complete if the template is as far as a whole region would be.
-    Regions without a base are absent.
+KINDS = ("complete", "partial_5", "partial_3")
+
+
+def aligned_regions(reads: Sequence[str], template: str, scorer: Scorer, regions: Sequence[tuple[int, int]], block: int = 512):
+    """Scores, and of every read and region the start, the end and the kind (an index of KINDS, -1 if absent).
+
+    ``regions`` are template places (1-based start, exclusive end), in order. Template places
+    never fall along a path, so a region starts at the first step at or behind its start (behind
+    the last base read if its own first base was deleted) and ends at the first step at or behind
+    its end. A read that begins inside a region shows its 3' part; the region in which the read's
+    last step lies ends there without that base, is complete if the template is as far as a whole
+    region would be, and is the last one seen. Regions without a base are absent.
     """
+    scores = np.zeros(len(reads), np.int32)
+    starts, stops, kinds = np.zeros((len(reads), len(regions)), np.int32), np.zeros((len(reads), len(regions)), np.int32), np.full((len(reads), len(regions)), -1, np.int8)
+    for some, best, (px, py, po, steps) in _blocks(reads, template, scorer, block):
+        scores[some] = best
+        rows, last = np.arange(len(some)), px.shape[1] - 1
+        opening = last + 1 - steps
+        going = steps > 0
+        for k, (start, end) in enumerate(regions):
+            met = going & (py[rows, np.minimum(opening, last)] <= end)
+            enter, leave = (py < start).sum(1), (py < end).sum(1)
+            going &= ~met | (enter <= last)
+            met &= going
+            at = np.minimum(enter, last)
+            x, y = px[rows, at], py[rows, at]
+            first = np.where((po[rows, at] == 3) & (y == start), x + 1, x)
+            inner = leave < last
+            stop = np.where(inner, px[rows, np.minimum(leave, last)], px[:, last])
+            whole = py[:, last] - first == end - start
+            kind = np.where(inner, np.where((enter == opening) & (y > start), 1, 0), np.where(whole, 0, 2))
+            found = met & (first < stop)
+            starts[some[found], k], stops[some[found], k], kinds[some[found], k] = first[found], stop[found], kind[found]
+            going &= ~met | inner
+    return scores, starts, stops, kinds
+
+
+def regions_of_path(path: list[tuple[int, int, str]], regions: Sequence[tuple[int, int]]) -> list[tuple[int, int, str] | None]:
+    """What :func:`aligned_regions` tells of a read, from its path alone: for single reads and as its plain statement."""
     out: list[tuple[int, int, str] | None] = [None] * len(regions)
     if not path:
         return out
@@ -206,22 +279,22 @@ def edits_text(items: Sequence[tuple[int, int, str, str]]) -> str:
 WINDOW = 8
 
 
+#: Which deletions at the ends are left out of each kind of region, since they only tell what was not read.
+UNREAD = {"complete": None, "partial_5": "leading", "partial_3": "trailing"}
+
+
 def variants(observed: str | None, kind: str | None, expected: str | None, distance: int) -> str | None:
-    """Edits between a found region and its library sequence, fragments compared at their own end."""
+    """Edits between a found region and its library sequence. Fragments on either side of a gap are compared
+    at their own end; what both of two overlapping ones show is told once."""
     if observed is None or expected is None:
         return None
-    if kind == "complete":
-        return edits_text(edits(observed, expected))
-    if kind == "partial_5":
-        return edits_text(edits(observed, expected, "leading"))
-    if kind == "partial_3":
-        return edits_text(edits(observed, expected, "trailing"))
-    left, right = observed.split("/", 1)
-    head = expected[: len(left) + distance + WINDOW]
-    tail = expected[max(0, len(expected) - (len(right) + distance + WINDOW)) :]
-    offset = len(expected) - len(tail)
-    items = edits(left, head, "trailing") + [(p + offset, *rest) for p, *rest in edits(right, tail, "leading")]
+    if kind in UNREAD:
+        return edits_text(edits(observed, expected, UNREAD[kind]))
+    found = []
+    for fragment, unread in zip(observed.split("/", 1), ("trailing", "leading")):
+        reach = min(len(fragment) + distance + WINDOW, len(expected))
+        at = 0 if unread == "trailing" else len(expected) - reach
+        found += [(place + at, *what) for place, *what in edits(fragment, expected[at : at + reach], unread)]
     if kind == "overlapping":
-        items = sorted(items, key=lambda e: (e[0], e[1]))
-        items = [e for k, e in enumerate(items) if k == 0 or e != items[k - 1]]
-    return edits_text(items)
+        found = sorted(dict.fromkeys(found), key=lambda e: e[:2])
+    return edits_text(found)

@@ -56,7 +56,24 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == F.length(b), F.when(F.length(a) == 0, 0).otherwise(count))
 
 
+#: Bases that fit into one packed number, two bits each.
+PACKED = 31
+
+
+def packed_bases(seq: Column) -> Column:
+    """A number of two bits a base of a sequence of at most 31 of A, C, G and T; null for any other."""
+    fits = (F.length(seq) <= PACKED) & (F.length(seq) > 0) & (F.translate(seq, "ACGT", "") == "")
+    return F.when(fits, F.conv(F.translate(seq, "ACGT", "0123"), 4, 10).cast("bigint"))
+
+
+def hamming_packed(a: Column, b: Column) -> Column:
+    """Number of differing places of two packed sequences of one length, in generated code."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
 def safe_divide(a: Column, b: Column) -> Column:
+    """a / b, and 0 where b is 0."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readweave.functions.alignment import variants as variants_text
+from readweave.functions.exprs import safe_divide
 from readweave.operators.filters import REASONS
 from readweave.operators.library import MATCH, MULTI, NO_LIBRARY, OVER, UNMATCHED, product_of_sizes
 
@@ -100,37 +101,36 @@ def category() -> Column:
 
 
 def summary(spark: SparkSession, combinations: DataFrame, filtered: DataFrame | None) -> DataFrame:
-    """The 16 rows of the summary: ``row_no, group, metric, count, overall_proportion, group_proportion``."""
-    parts = combinations.groupBy(category().alias("metric")).agg(F.sum("count").cast("bigint").alias("n")).select(F.lit("unfiltered").alias("group"), "metric", "n")
+    """The 16 rows of the summary: ``row_no, group, metric, count, overall_proportion, group_proportion``.
+
+    The combinations are read once: their categories (seven at most) and the reasons' sums become
+    one row, from which all counts, totals and shares follow."""
+    parts = combinations.groupBy(category().alias("metric")).agg(F.sum("count").cast("bigint").alias("n")).select(F.concat(F.lit("unfiltered/"), "metric").alias("key"), "n")
     if filtered is not None:
         sums = filtered.agg(*[F.coalesce(F.sum(r), F.lit(0)).cast("bigint").alias(r) for r in REASONS])
-        pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("metric"), F.col(r).alias("n")) for r in REASONS])).alias("x")
-        parts = parts.unionByName(sums.select(pairs).select(F.lit("filtered").alias("group"), "x.metric", "x.n"))
-    # at most 16 rows from here on
-    totals = parts.groupBy("group").agg(F.sum("n").alias("n")).select("group", F.lit("total").alias("metric"), "n")
-    everything = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("all").alias("group"), F.lit("total").alias("metric"), "n")
-    counts = parts.unionByName(totals).unionByName(everything)
-    rows = spark.createDataFrame(
-        [(i, g, m) for i, (g, m) in enumerate(SUMMARY_ROWS)], T._parse_datatype_string("row_no int, group string, metric string")
-    )
-    out = rows.join(counts, ["group", "metric"], "left").withColumn("count", F.coalesce("n", F.lit(0)).cast("bigint")).drop("n")
-    own = F.struct("row_no", "count")
-    one = out.agg(
-        F.max(F.when(F.col("group") == "all", F.col("count"))).alias("all"),
-        F.max(F.when((F.col("group") == "unfiltered") & (F.col("metric") == "total"), F.col("count"))).alias("unfiltered"),
-        F.max(F.when((F.col("group") == "filtered") & (F.col("metric") == "total"), F.col("count"))).alias("filtered"),
-        F.collect_list(F.struct("group", "metric", own.alias("own"))).alias("rows"),
+        pairs = F.explode(F.array(*[F.struct(F.lit(f"filtered/{r}").alias("key"), F.col(r).alias("n")) for r in REASONS])).alias("x")
+        parts = parts.unionByName(sums.select(pairs).select("x.key", "x.n"))
+    zero = F.lit(0).cast("bigint")
+    one = parts.agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("counts"))
+
+    def total(of: str) -> Column:
+        return F.aggregate(F.map_values(F.map_filter("counts", lambda k, _: F.startswith(k, F.lit(of)))), zero, lambda a, n: a + n)
+
+    one = one.withColumn("counts", F.map_concat("counts", F.create_map(*[F.lit(f"{g}/total") if i == 0 else total(f"{g}/" if g != "all" else "") for g in ("all", "unfiltered", "filtered") for i in (0, 1)])))
+    rows = F.array(*[F.struct(F.lit(i).alias("row_no"), F.lit(g).alias("group"), F.lit(m).alias("metric")) for i, (g, m) in enumerate(SUMMARY_ROWS)])
+
+    def number(group: Column | str, metric: Column | str) -> Column:
+        return F.coalesce(F.try_element_at("counts", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in (group, "/", metric)])), zero)
+
+    flat = one.select("counts", F.explode(rows).alias("x"))
+    flat = flat.select(
+        "x.*", number(F.col("x.group"), F.col("x.metric")).alias("count"), number("all", "total").alias("__all"), number(F.col("x.group"), "total").alias("__own")
     )
-    flat = one.select("all", "unfiltered", "filtered", F.explode("rows").alias("x"))
-    share = F.when(F.col("x.group") == "all", F.col("all")).when(F.col("x.group") == "unfiltered", F.col("unfiltered")).otherwise(F.col("filtered"))
 
-    def part_of(whole: Column) -> Column:
-        return F.when(whole == 0, F.lit(0.0)).otherwise(F.col("x.own.count") / whole)
+    def part_of(whole: str) -> Column:
+        return safe_divide(F.col("count"), F.col(whole))
 
-    return flat.select(
-        F.col("x.own.row_no").alias("row_no"), F.col("x.group").alias("group"), F.col("x.metric").alias("metric"), F.col("x.own.count").alias("count"),
-        part_of(F.col("all")).alias("overall_proportion"), part_of(share).alias("group_proportion"),
-    )
+    return flat.select("row_no", "group", "metric", "count", part_of("__all").alias("overall_proportion"), part_of("__own").alias("group_proportion"))
 
 
 def library_counts(classified: DataFrame, region_ids: list[str]) -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readweave.errors import OptionError
-from readweave.functions.alignment import Scorer, regions_of_path, semiglobal
+from readweave.functions.alignment import KINDS, Scorer, aligned_regions, semiglobal
 from readweave.functions.exprs import COMPLETE, PARTIAL3, PARTIAL5, mean_quality, merge_evidence, region, reverse_complement
 from readweave.functions.flanks import pattern_regions
 from readweave.operators.filters import FilterConfig, alignment_reason, alignment_threshold
-from readweave.operators.spec import LibrarySpec, reverse_complement as reverse_complement_text
+from readweave.operators.spec import LibrarySpec
 
 MODES = ("full-read", "inframe", "pattern", "align")
 _FOUND = "struct<seq:string,kind:string,split:int,quality:float>"
@@ -94,18 +94,30 @@ def _inframe(reads: DataFrame, spec: LibrarySpec, paired: bool, options: Extract
         # here the forward read's regions stand each for itself
         seq, n = F.substring("f_seq", max(start, 0) + 1, end - start), F.length("f_seq")
         f = F.when(n > end, region(seq, COMPLETE)).when(n > start, region(seq, PARTIAL3)) if start >= 0 else F.lit(None).cast(_plain())
-        quality = mean_quality(F.substring("f_qual", max(start, 0) + 1, end - start))
-        merged.append(merge_evidence(f, back, quality, mean_quality(back_quality), r.longest))
+        # qualities decide only where both ends show all of the region; elsewhere nulls are handed over, at no cost
+        both = f.isNotNull() & back.isNotNull() & (f["kind"] == COMPLETE) & (back["kind"] == COMPLETE)
+        quality, other = (mean_quality(F.when(both, q)) for q in (F.substring("f_qual", max(start, 0) + 1, end - start), back_quality))
+        merged.append(merge_evidence(f, back, quality, other, r.longest))
     return reads.select("*", *[m.alias(n) for m, n in zip(merged, names)])
 
 
-def _evidence(seq: str, qual: str | None, found: tuple[int, int, str] | None) -> dict | None:
-    if found is None:
-        return None
-    start, end, kind = found
-    raw = np.frombuffer((qual or "")[start:end].encode("latin-1", "replace"), np.uint8)
-    quality = float(np.float32(raw.sum()) / np.float32(len(raw)) - np.float32(33)) if len(raw) else 0.0
-    return {"seq": seq[start:end], "kind": kind, "split": None, "quality": quality}
+def _found_array(seqs: list[str | None], quals: list[str | None], starts: np.ndarray, stops: np.ndarray, kinds: np.ndarray) -> pa.ListArray:
+    """Evidence of every region of every read, row by row: bases, kind and mean quality (0 without quality)."""
+    n, width = kinds.shape
+    flat = kinds.ravel()
+    low, high = starts.ravel().tolist(), stops.ravel().tolist()
+    bases, means = [None] * len(flat), np.zeros(len(flat), np.float32)
+    for at in np.flatnonzero(flat >= 0).tolist():
+        row = at // width
+        bases[at] = seqs[row][low[at] : high[at]]
+        if quals[row]:
+            raw = quals[row][low[at] : high[at]].encode("latin-1", "replace")
+            means[at] = np.float32(sum(raw)) / np.float32(len(raw)) - np.float32(33) if raw else 0
+    names = pa.DictionaryArray.from_arrays(pa.array(np.maximum(flat, 0), pa.int8()), pa.array(KINDS)).cast(pa.string())
+    body = pa.StructArray.from_arrays(
+        [pa.array(bases, pa.string()), names, pa.nulls(len(flat), pa.int32()), pa.array(means)], fields=list(_ARROW), mask=pa.array(flat < 0)
+    )
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), body)
 
 
 def _pattern_column(spec: LibrarySpec, options: ExtractOptions, seq: Column, qual: Column) -> Column:
@@ -115,12 +127,14 @@ def _pattern_column(spec: LibrarySpec, options: ExtractOptions, seq: Column, qua
     @F.arrow_udf(T._parse_datatype_string(f"array<{_FOUND}>"))
     def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for seqs, quals in parts:
-            s, q = seqs.to_pylist(), quals.to_pylist()
-            rows = [
-                [_evidence(a, b, f) for f in found] if a is not None else [None] * len(flanks)
-                for a, b, found in zip(s, q, pattern_regions(s, flanks, tolerance))
-            ]
-            yield pa.array(rows, pa.list_(_ARROW))
+            s = seqs.to_pylist()
+            shape = (len(s), len(flanks))
+            starts, stops, kinds = np.zeros(shape, np.int32), np.zeros(shape, np.int32), np.full(shape, -1, np.int8)
+            for i, found in enumerate(pattern_regions(s, flanks, tolerance)):
+                for k, f in enumerate(found):
+                    if f is not None:
+                        starts[i, k], stops[i, k], kinds[i, k] = f[0], f[1], KINDS.index(f[2])
+            yield _found_array(s, quals.to_pylist(), starts, stops, kinds)
 
     return run(seq, qual)
 
@@ -132,19 +146,14 @@ def _align_column(spec: LibrarySpec, options: ExtractOptions, seq: Column, qual:
     @F.arrow_udf(T._parse_datatype_string(f"struct<score:int,regions:array<{_FOUND}>>"))
     def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for seqs, quals in parts:
-            s, q = seqs.to_pylist(), quals.to_pylist()
+            s = seqs.to_pylist()
             # one alignment per distinct read of the batch
-            distinct = list({x for x in s if x is not None})
-            known = dict(zip(distinct, semiglobal(distinct, template, scorer)))
-            rows = []
-            for a, b in zip(s, q):
-                if a is None:
-                    rows.append(None)
-                    continue
-                score, path = known[a]
-                found = regions_of_path(path, regions)
-                rows.append({"score": score, "regions": [_evidence(a, b, f and (f[0] - 1, f[1] - 1, f[2])) for f in found]})
-            yield pa.array(rows, pa.struct([("score", pa.int32()), ("regions", pa.list_(_ARROW))]))
+            distinct = list(dict.fromkeys(x for x in s if x is not None))
+            places = {x: k for k, x in enumerate(distinct)}
+            scores, starts, stops, kinds = aligned_regions([*distinct, ""], template, scorer, regions)
+            at = np.array([places.get(x, len(distinct)) for x in s], np.int64)
+            found = _found_array(s, quals.to_pylist(), starts[at] - 1, stops[at] - 1, kinds[at])
+            yield pa.StructArray.from_arrays([pa.array(scores[at]), found], ["score", "regions"], mask=seqs.is_null())
 
     return run(seq, qual)
 
@@ -210,8 +219,3 @@ def explain_alignment(read: str, spec: LibrarySpec, options: ExtractOptions = Ex
         low += "-" if op == "I" else template[y - 1]
         mid += "|" if op == "M" else " "
     return f"{top}\n{mid}\n{low}\nscore {score}"
-
-
-def expected_in_template_orientation(spec: LibrarySpec) -> str:
-    """The expected reverse read turned to the template's orientation."""
-    return reverse_complement_text(spec.expected_reverse())

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from readweave.errors import LibraryError, OptionError
-from readweave.functions.exprs import CENTER, COMPLETE, OVERLAP, PARTIAL3, PARTIAL5, hamming
+from readweave.functions.exprs import CENTER, OVERLAP, PARTIAL3, PARTIAL5, hamming, hamming_packed, packed_bases
 from readweave.operators.spec import LibrarySpec
-from readweave.session import cut
+from readweave.session import with_place
 
 METRICS = ("exact", "hamming", "levenshtein", "bounded-levenshtein")
 FULL, HEAD, TAIL = "full", "head", "tail"
@@ -29,16 +26,16 @@ def with_member_ids(members: DataFrame, number: int) -> DataFrame:
     """Members with ``_id``; without such a column they are named lib<file>_<row>, both from 0, in file order."""
     if "_id" in members.columns:
         return members
-    # files of libraries are small; consecutive numbers need one order over all rows
-    order = Window.orderBy(F.monotonically_increasing_id())
-    return members.withColumn("_id", F.concat(F.lit(f"lib{number}_"), (F.row_number().over(order) - 1).cast("string")))
+    placed = with_place(members, "__place")
+    return placed.withColumn("_id", F.concat(F.lit(f"lib{number}_"), (F.col("__place") - 1).cast("string"))).drop("__place")
 
 
-def compile_library(spec: LibrarySpec, *files: DataFrame) -> DataFrame:
+def compile_library(spec: LibrarySpec, *files: DataFrame, check_ids: bool = True) -> DataFrame:
     """``sublib, region_id, seq, ids``: one row per distinct sequence of a region, with its sorted member ids.
 
     Checks that columns are variable regions of the specification, that a region belongs to one
-    file only, that ids are unique and ``_id`` is no region.
+    file only, that ids are unique and ``_id`` is no region. The check of ids runs a job; it can
+    be left out where they are known to be unique.
     """
     known = [r.id for r in spec.variable]
     if "_id" in known:
@@ -54,7 +51,7 @@ def compile_library(spec: LibrarySpec, *files: DataFrame) -> DataFrame:
                 raise LibraryError(f"region {c!r} is in more than one library")
             seen[c] = number
         members = with_member_ids(raw, number)
-        if members.groupBy("_id").count().where("count > 1").limit(1).count():
+        if check_ids and members.groupBy("_id").count().where("count > 1").limit(1).count():
             raise LibraryError(f"library {number} has repeated ids")
         long = members.select("_id", F.explode(F.array(*[F.struct(F.lit(c).alias("region_id"), F.col(c).alias("seq")) for c in regions])).alias("x"))
         part = (
@@ -65,118 +62,120 @@ def compile_library(spec: LibrarySpec, *files: DataFrame) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise LibraryError("no library given")
-    return out
-
-
-def _comparand(anchor: str, metric: str, seq: Column, n: Column) -> Column:
-    """What a library sequence shows to a probe of length n."""
-    if anchor == FULL:
-        return seq
-    size = F.least(n, F.length(seq))
-    return F.substr(seq, F.lit(1), size) if anchor == HEAD else F.right(seq, size)
-
-
-def _exact(probes: DataFrame, targets: DataFrame) -> DataFrame:
-    return probes.join(targets.select("region_id", F.col("seq").alias("hit")), (probes["region_id"] == targets["region_id"]) & (probes["seq"] == F.col("hit"))).select(
-        probes["region_id"], probes["seq"], probes["anchor"], "hit", F.lit(0).alias("distance")
-    )
+    return out.select(F.col("sublib").alias("sublib", metadata={"homes": seen}), "region_id", "seq", "ids")
 
 
-def _near(probes: DataFrame, targets: DataFrame, anchor: str, metric: str, distance: int) -> DataFrame:
-    """Pairs within ``distance`` of one anchor: seeds by the pigeonhole, joined by equality, then verified.
-
-    Of distance + 1 chunks of what a library sequence shows, one is untouched by at most
-    ``distance`` edits and stands in the probe at the same place (Hamming) or at most
-    ``distance`` places off (Levenshtein). Sequences too short to be cut meet by length alone.
-    """
-    lev = metric != "hamming"
-    p = probes.where(F.col("anchor") == anchor).select("region_id", "seq", "anchor", F.length("seq").alias("n"))
-    lengths = p.select("region_id", "n").dropDuplicates()
-    t = targets.select(F.col("region_id").alias("t_region"), F.col("seq").alias("hit"))
-    shown = t.join(lengths, (F.col("t_region") == F.col("region_id")) & _length_fits(anchor, lev, distance))
-    shown = shown.select("region_id", "n", "hit", _comparand(anchor, metric, F.col("hit"), F.col("n")).alias("shown"))
-    shown = shown.withColumn("m", F.length("shown"))
-    k = distance + 1
-    starts = [F.floor(F.col("m") * i / k).cast("int") for i in range(k + 1)]
-    chunks = F.array(*[F.struct(F.lit(i).alias("i"), F.substr("shown", starts[i] + 1, starts[i + 1] - starts[i]).alias("chunk")) for i in range(k)])
-    whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("chunk")))
-    targets_cut = shown.select("region_id", "n", "m", "hit", "shown", F.explode(F.when(F.col("m") >= k, chunks).otherwise(whole)).alias("s")).select(
-        "region_id", "n", "m", "hit", "shown", "s.i", "s.chunk"
-    )
-    sizes = shown.select("region_id", "n", "m").dropDuplicates()
-    cut = p.join(sizes, ["region_id", "n"])
-    shifts = range(-distance, distance + 1) if lev else (0,)
-    seeds = []
-    for i in range(k):
-        size = starts[i + 1] - starts[i]
-        for d in shifts:
-            at = starts[i] + d
-            ok = (F.col("m") >= k) & (at >= 0) & (at + size <= F.col("n"))
-            seeds.append(F.when(ok, F.struct(F.lit(i).alias("i"), F.substr("seq", at + 1, size).alias("chunk"))))
-    short = F.when(F.col("m") < k, F.struct(F.lit(-1).alias("i"), F.lit("").alias("chunk")))
-    probe_cut = cut.select("region_id", "n", "m", "seq", "anchor", F.explode(F.array_distinct(F.array_compact(F.array(*seeds, short)))).alias("s")).select(
-        "region_id", "n", "m", "seq", "anchor", "s.i", "s.chunk"
-    )
-    met = probe_cut.join(targets_cut, ["region_id", "n", "m", "i", "chunk"]).select("region_id", "seq", "anchor", "hit", "shown").dropDuplicates()
-    value = F.levenshtein("seq", "shown", distance) if lev else hamming(F.col("seq"), F.col("shown"))
-    met = met.withColumn("distance", value.cast("int"))
-    return met.where((F.col("distance") >= 0) & (F.col("distance") <= distance)).drop("shown")
+def homes_of(library: DataFrame) -> dict[str, int]:
+    """The number of the file that holds each region; told by the compiled table's metadata, else looked up (one row per region)."""
+    known = library.schema["sublib"].metadata.get("homes")
+    if known is not None:
+        return known
+    return {r["region_id"]: r["sublib"] for r in library.select("region_id", "sublib").dropDuplicates().collect()}
 
 
-def _length_fits(anchor: str, lev: bool, distance: int) -> Column:
-    m, n = F.length("hit"), F.col("n")
-    if anchor == FULL:
-        return F.abs(m - n) <= distance if lev else m == n
+def _length_fits(lev: bool) -> Column:
+    """Whether a library sequence of length m can be within ``limit`` of a probe of length n."""
+    m, n, limit = F.length("hit"), F.col("n"), F.col("limit")
     if lev:
-        return n - m <= distance  # what is shown is never longer than the probe
-    return m >= n
+        return F.when(F.col("anchor") == FULL, F.abs(m - n) <= limit).otherwise(n - m <= limit)  # what is shown is never longer than the probe
+    return F.when(F.col("anchor") == FULL, m == n).otherwise(m >= n)
 
 
 def lookup(probes: DataFrame, library: DataFrame, metric: str, max_distance: int, distances: dict[str, int] | None = None) -> DataFrame:
-    """Nearest library sequences of each probe (``region_id, seq, anchor``): ``distance, hits, ids``.
+    """Nearest library sequences of each probe (``region_id, seq, anchor``): ``distance, found``, and of ``found`` the ``hits`` and ``ids``.
 
     An equal sequence is the answer whatever the anchor. Else all sequences at the least
     distance not above the region's maximum are hits, compared whole (``full``) or by the
-    start (``head``) or the end (``tail``) as long as the probe. ``hits`` is sorted; ``ids`` are the
-    members that have any of them. Probes without a hit do not appear. Null probes match nothing.
+    start (``head``) or the end (``tail``) as long as the probe. ``found`` is an array of (hit, ids)
+    sorted by hit; ``ids`` are the members that have any of them. Probes without a hit do not
+    appear. Null probes match nothing.
+
+    Probes and library meet by pigeonhole seeds: of limit + 1 chunks of what a library sequence
+    shows, one is untouched by at most ``limit`` edits and stands in the probe at the same place
+    (Hamming) or at most ``limit`` places off (Levenshtein). Probes with an equal sequence meet
+    it as a whole; sequences too short to be cut meet by length alone. Everything is one lazy
+    plan over one read of the probes' distinct rows.
     """
     if metric not in METRICS:
         raise OptionError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
-    # both tables are read by every branch below, so they are made once
-    probes = cut(probes.where(F.col("seq").isNotNull()).select("region_id", "seq", "anchor").dropDuplicates())
-    library = cut(library)
-    targets = library.select("region_id", "seq")
-    exact = _exact(probes, targets)
-    rest = probes.join(exact.select("region_id", "seq", "anchor"), ["region_id", "seq", "anchor"], "left_anti")
-    hits, limits = exact, distances or {}
-    branches: dict[tuple[str, int], list[str]] = {}
-    for row in probes.select("region_id", "anchor").dropDuplicates().collect():  # regions times three at most
-        limit = 0 if metric == "exact" else limits.get(row["region_id"], max_distance)
-        if metric != "exact" or row["anchor"] != FULL:
-            branches.setdefault((row["anchor"], limit), []).append(row["region_id"])
-    for (anchor, limit), regions in sorted(branches.items()):
-        some = F.col("region_id").isin(regions)
-        hits = hits.unionByName(_near(rest.where(some), targets.where(some), anchor, "hamming" if metric == "exact" else metric, limit))
-    best = hits.groupBy("region_id", "seq", "anchor").agg(F.min("distance").alias("distance"))
-    best = hits.join(best, ["region_id", "seq", "anchor", "distance"])
-    ids = library.select("region_id", F.col("seq").alias("hit"), "ids")
-    return (
-        best.join(ids, ["region_id", "hit"])
-        .groupBy("region_id", "seq", "anchor", "distance")
-        .agg(F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    lev, limits = metric.endswith("levenshtein"), {} if metric == "exact" else distances or {}
+    most = 0 if metric == "exact" else max_distance
+    limit = F.lit(most)
+    for region, d in limits.items():
+        limit = F.when(F.col("region_id") == region, d).otherwise(limit)
+    most = max([most, *limits.values()])
+    targets = library.select("region_id", F.col("seq").alias("hit"), "ids")
+    p = probes.where(F.col("seq").isNotNull()).select("region_id", "seq", "anchor").dropDuplicates()
+    same = targets.select("region_id", F.col("hit").alias("seq"), F.lit(True).alias("equal"))
+    p = p.join(same, ["region_id", "seq"], "left").select(
+        "region_id", "seq", "anchor", F.length("seq").alias("n"), limit.alias("limit"), F.coalesce("equal", F.lit(False)).alias("equal")
+    )
+    lengths = p.select("region_id", "anchor", "n", "limit").dropDuplicates()
+    shown = targets.join(lengths, "region_id").where(_length_fits(lev))
+    size = F.least(F.col("n"), F.length("hit"))
+    text = F.when(F.col("anchor") == FULL, F.col("hit")).when(F.col("anchor") == HEAD, F.substr("hit", F.lit(1), size)).otherwise(F.right("hit", size))
+    shown = shown.select("region_id", "anchor", "n", "limit", "hit", "ids", text.alias("shown")).withColumn("m", F.length("shown"))
+
+    def start(i: Column | int) -> Column:
+        return F.floor(F.col("m") * i / (F.col("limit") + 1)).cast("int")
+
+    def seed(i: Column | int, chunk: Column) -> Column:
+        return F.struct((F.lit(i) if isinstance(i, int) else i).cast("int").alias("i"), chunk.alias("chunk"))
+
+    short = F.col("m") <= F.col("limit")
+    whole = (F.col("anchor") == FULL) & (F.lit(metric == "exact"))  # equal ones only
+    chunks = F.transform(F.sequence(F.lit(0), F.col("limit")), lambda i: seed(i, F.substr("shown", start(i) + 1, start(i + 1) - start(i))))
+    cut_up = F.when(whole, F.array().cast(CHUNKS)).when(short, F.array(seed(-1, F.lit("")))).otherwise(chunks)
+    equal = F.when(F.length("hit") == F.col("n"), F.array(seed(-2, F.col("hit")))).otherwise(F.array().cast(CHUNKS))
+    target_seeds = shown.select(
+        "region_id", "anchor", "n", "m", "hit", "ids", "shown", packed_bases(F.col("shown")).alias("shown_bits"), F.explode(F.concat(cut_up, equal)).alias("s")
+    ).select("region_id", "anchor", "n", "m", "hit", "ids", "shown", "shown_bits", "s.i", "s.chunk")
+    sizes = shown.select("region_id", "anchor", "n", "m").dropDuplicates()
+    seeds = []
+    for i in range(most + 1):
+        for d in range(-most, most + 1) if lev else (0,):
+            at, long = start(i) + d, start(i + 1) - start(i)
+            fits = (F.lit(i) <= F.col("limit")) & (F.lit(abs(d)) <= F.col("limit")) & (at >= 0) & (at + long <= F.col("n"))
+            seeds.append(F.when(fits, seed(i, F.substr("seq", at + 1, long))))
+    some = F.array_distinct(F.array_compact(F.array(*seeds)))
+    own = F.when(F.col("equal"), F.array(seed(-2, F.col("seq")))).when(whole, F.array().cast(CHUNKS)).when(short, F.array(seed(-1, F.lit("")))).otherwise(some)
+    probe_seeds = p.join(sizes, ["region_id", "anchor", "n"]).where(~F.col("equal") | (F.col("m") == F.col("n"))).select(
+        "region_id", "anchor", "n", "m", "seq", "limit", packed_bases(F.col("seq")).alias("bits"), F.explode(own).alias("s")
     )
+    probe_seeds = probe_seeds.select("region_id", "anchor", "n", "m", "seq", "limit", "bits", "s.i", "s.chunk")
+    met = probe_seeds.join(target_seeds, ["region_id", "anchor", "n", "m", "i", "chunk"])
+    if lev:
+        value = F.levenshtein("seq", "shown", most)
+    else:
+        value = F.coalesce(hamming_packed(F.col("bits"), F.col("shown_bits")), hamming(F.col("seq"), F.col("shown")))
+    met = met.withColumn("distance", F.when(F.col("i") == -2, 0).otherwise(value).cast("int")).where("distance >= 0 and distance <= limit")
+    # a probe has as many near sequences as the library offers, and the shorter a probe the fewer of its kind
+    near = met.groupBy("region_id", "seq", "anchor").agg(F.collect_set(F.struct("distance", "hit", "ids")).alias("near"), F.min("distance").alias("distance"))
+    best = F.filter("near", lambda x: x["distance"] == F.col("distance"))
+    found = F.array_sort(F.transform(best, lambda x: F.struct(x["hit"].alias("hit"), x["ids"].alias("ids"))))
+    near = near.select("region_id", "seq", "anchor", "distance", found.alias("found"))
+    return near.select("*", F.col("found.hit").alias("hits"), ids_of("found").alias("ids"))
+
+
+CHUNKS = "array<struct<i:int,chunk:string>>"
+FOUND = "array<struct<hit:string,ids:array<string>>>"
+
+
+def ids_of(found: str) -> Column:
+    """The sorted members of found sequences."""
+    return F.array_sort(F.array_distinct(F.flatten(F.col(found)["ids"])))
 
 
 def probes_of(regions: DataFrame) -> DataFrame:
     """What to look up for each observed region: itself, or both fragments of one with a gap."""
     anchor = F.when(F.col("kind") == PARTIAL5, TAIL).when(F.col("kind") == PARTIAL3, HEAD).otherwise(FULL)
-    single = regions.where(F.col("kind").isin(COMPLETE, PARTIAL5, PARTIAL3)).select("*", F.lit(0).alias("part"), F.col("seq").alias("piece"), anchor.alias("anchor"))
-    parts = F.array(
-        F.struct(F.lit(1).alias("part"), F.substring_index("seq", "/", 1).alias("piece"), F.lit(HEAD).alias("anchor")),
-        F.struct(F.lit(2).alias("part"), F.substring_index("seq", "/", -1).alias("piece"), F.lit(TAIL).alias("anchor")),
-    )
-    double = regions.where(F.col("kind").isin(CENTER, OVERLAP)).select("*", F.explode(parts).alias("x")).select(*regions.columns, "x.part", "x.piece", "x.anchor")
-    return single.unionByName(double)
+
+    def piece(part: int, text: Column, anchor: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), text.alias("piece"), anchor.alias("anchor"))
+
+    two = F.array(piece(1, F.substring_index("seq", "/", 1), F.lit(HEAD)), piece(2, F.substring_index("seq", "/", -1), F.lit(TAIL)))
+    parts = F.when(F.col("kind").isin(CENTER, OVERLAP), two).otherwise(F.array(piece(0, F.col("seq"), anchor)))
+    return regions.select("*", F.explode(parts).alias("x")).select(*regions.columns, "x.part", "x.piece", "x.anchor")
 
 
 UNMATCHED, MATCH, MULTI, OVER, NO_LIBRARY = "unmatched", "match", "multimatch", "overmatched", "no_library"
@@ -190,40 +189,32 @@ def match_regions(
     Fragments on either side of a gap are looked up apart, each with its own nearest hits, and
     what both hit counts, at the sum of the distances.
     """
-    regions, library = cut(regions), cut(library)
     probes = probes_of(regions)
     found = lookup(probes.select("region_id", F.col("piece").alias("seq"), "anchor"), library, metric, max_distance, spec.max_distances())
-    found = found.select("region_id", F.col("seq").alias("piece"), "anchor", "distance", "hits")
+    found = found.select("region_id", F.col("seq").alias("piece"), "anchor", "distance", "found")
     keys = ["region_id", "seq", "kind", "split"]
-    per_part = probes.join(found, ["region_id", "piece", "anchor"], "left")
-    none = F.array().cast("array<string>")
-    joined = per_part.groupBy(*keys).agg(
+    joined = probes.join(found, ["region_id", "piece", "anchor"], "left").groupBy(*keys).agg(
         F.sum("distance").alias("distance"),
-        F.max(F.when(F.col("part") <= 1, F.col("hits"))).alias("a"),
-        F.max(F.when(F.col("part") == 2, F.col("hits"))).alias("b"),
+        F.max(F.when(F.col("part") <= 1, F.col("found"))).alias("a"),
+        F.max(F.when(F.col("part") == 2, F.col("found"))).alias("b"),
         F.max("part").alias("parts"),
     )
-    both = F.array_sort(F.array_intersect(F.coalesce("a", none), F.coalesce("b", none)))
-    joined = joined.withColumn("hits", F.when(F.col("parts") == 0, F.coalesce("a", none)).otherwise(both))
-    with_ids = (
-        joined.select(*keys, F.explode("hits").alias("hit")).join(library.select("region_id", F.col("seq").alias("hit"), "ids", "sublib"), ["region_id", "hit"])
-        .groupBy(*[F.col(c).alias(f"__{c}") for c in keys])
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
-    )
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    homes = library.select(F.col("region_id").alias("__home"), "sublib").dropDuplicates()
-    out = joined.join(with_ids, same, "left").join(homes, F.col("region_id") == F.col("__home"), "left")
-    n = F.size("hits")
+    none = F.array().cast(FOUND)
+    a, b = F.coalesce("a", none), F.coalesce("b", none)
+    both = F.filter(a, lambda x: F.array_contains(b["hit"], x["hit"]))
+    joined = joined.withColumn("found", F.when(F.col("parts") == 0, a).otherwise(both))
+    homes = [F.lit(x) for pair in homes_of(library).items() for x in pair]
+    home = F.element_at(F.create_map(*homes), F.col("region_id")) if homes else F.lit(None)
+    joined = joined.withColumn("sublib", home.cast("int"))
+    n = F.size("found")
     kind = (
         F.when(F.col("sublib").isNull(), NO_LIBRARY).when(n == 0, UNMATCHED).when(n == 1, MATCH).when(n > max_matches, OVER).otherwise(MULTI)
     )
-    out = out.withColumn("match", kind)
+    out = joined.withColumn("match", kind)
     shown = F.col("match").isin(MATCH, MULTI)
     return out.select(
         *keys, "match", F.when(n > 0, F.col("distance")).cast("bigint").alias("distance"), n.cast("bigint").alias("n_matches"),
-        F.when(shown, F.col("hits")).alias("hits"), F.when(shown, F.col("ids")).alias("ids"), "sublib",
+        F.when(shown, F.col("found.hit")).alias("hits"), F.when(shown, ids_of("found")).alias("ids"), "sublib",
     )
 
 
@@ -231,8 +222,3 @@ def product_of_sizes(ids: Column) -> Column:
     """Number of combinations of sets of ids, where a null set counts as one."""
     sizes = F.transform(ids, lambda s: F.when(s.isNull(), 1).otherwise(F.size(s)).cast("bigint"))
     return F.when(F.size(ids) == 0, F.lit(0)).otherwise(F.aggregate(sizes, F.lit(1).cast("bigint"), lambda a, b: a * b))
-
-
-def library_lengths(library: DataFrame) -> Iterable[tuple[str, int]]:
-    """Distinct lengths per region, for reports."""
-    return [(r["region_id"], r["n"]) for r in library.select("region_id", F.length("seq").alias("n")).dropDuplicates().collect()]

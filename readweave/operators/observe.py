@@ -39,5 +39,7 @@ def observed_regions(combinations: DataFrame, spec: LibrarySpec) -> DataFrame:
     """Distinct (region_id, seq, kind, split) over all regions: what has to be looked up."""
     ids = [r.id for r in spec.variable]
     parts = F.array(*[F.struct(F.lit(i).alias("region_id"), F.col(f"reg_{i}").alias("r")) for i in ids])
-    rows = combinations.select(F.explode(parts).alias("x")).where(F.col("x.r").isNotNull())
+    # the counts are asked for although every one is above 0, so that this reading of the
+    # combinations is the same as any other and Spark makes them once
+    rows = combinations.where("count > 0").select(F.explode(parts).alias("x")).where(F.col("x.r").isNotNull())
     return rows.select("x.region_id", "x.r.seq", "x.r.kind", "x.r.split").dropDuplicates()

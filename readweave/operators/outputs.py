@@ -8,12 +8,12 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from readweave.errors import OptionError
 from readweave.functions.exprs import region_text
 from readweave.operators.classify import combination_columns, variants_column
 from readweave.operators.library import MATCH, MULTI, OVER
+from readweave.session import with_place
 
 OUTPUTS = ("counts", "library_counts", "summary", "filtered")
 
@@ -40,12 +40,24 @@ def counts_table(classified: DataFrame, region_ids: Sequence[str], compared: boo
     return classified.select(*columns, F.col("count"))
 
 
-def sort_by_total(df: DataFrame, count: str = "count", group: str = "group") -> DataFrame:
-    """Rows by their key's total over all groups, largest first; a key's groups stay together, ties follow the key."""
-    keys = [c for c in df.columns if c not in (count, group) and c not in ("proportion", "empty_read", "short_read", "long_read", "low_mean_quality", "bad_alignment")]
-    total = F.sum(count).over(Window.partitionBy(*keys)).alias("__total")
-    ordered = df.select("*", total).orderBy(F.desc("__total"), *[F.asc_nulls_first(k) for k in keys], F.asc_nulls_first(group))
-    return ordered.drop("__total")
+#: Parts over which the groups of one key are spread while its total is joined to them.
+SALTS = 16
+
+
+def sort_by_total(df: DataFrame, count: str = "count", group: str = "group", place: str | None = None) -> DataFrame:
+    """Rows by their key's total over all groups, largest first; a key's groups stay together, ties follow the key.
+
+    A total is one row per key, sent to each of SALTS parts of the key's groups, so that a key with very many groups is
+    no task of its own. ``place`` names a column for the row's number in that order."""
+    drop = (count, group, "proportion", "empty_read", "short_read", "long_read", "low_mean_quality", "bad_alignment")
+    keys = [c for c in df.columns if c not in drop]
+    rows = df.withColumn("__key", F.struct(*keys)).withColumn("__salt", F.pmod(F.xxhash64(group), F.lit(SALTS)).cast("int"))
+    totals = rows.groupBy("__key").agg(F.sum(count).alias("__total")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.join(totals, ["__key", "__salt"]).select(*df.columns, "__total")
+    order = [F.desc("__total"), *[F.asc_nulls_first(k) for k in keys], F.asc_nulls_first(group)]
+    if place is None:
+        return rows.orderBy(*order).drop("__total")
+    return with_place(rows, place, *order).drop("__total")
 
 
 def _cell(value, decimals: int | None) -> str:
@@ -64,17 +76,18 @@ def write_tsv(df: DataFrame, path: str, decimals: int | None = 4) -> None:
             out.write("\t".join(_cell(v, decimals) for v in row) + "\n")
 
 
-def write_parts(df: DataFrame, folder: str) -> None:
+def write_parts(df: DataFrame, folder: str, overwrite: bool = False) -> None:
     """Tab-separated part files written by the executors: the way for outputs beyond one machine."""
-    df.write.csv(folder, sep="\t", header=True, emptyValue="", nullValue="", quote="\u0000", mode="errorifexists")
+    df.write.csv(folder, sep="\t", header=True, emptyValue="", nullValue="", quote="\u0000", mode="overwrite" if overwrite else "errorifexists")
 
 
-def output_paths(base: str) -> dict[str, str]:
-    return {name: f"{base}.{name}.tsv" for name in OUTPUTS}
+def output_paths(base: str, parts: bool = False) -> dict[str, str]:
+    """Where each output goes: a file, or with ``parts`` a folder of part files."""
+    return {name: f"{base}.{name}" + ("" if parts else ".tsv") for name in OUTPUTS}
 
 
-def guard_outputs(base: str, overwrite: bool) -> None:
-    """Refuse to start if an output exists and may not be overwritten."""
-    there = [p for p in output_paths(base).values() if os.path.exists(p)]
+def guard_outputs(base: str, overwrite: bool, parts: bool = False) -> None:
+    """Refuse to start if an output exists and may not be overwritten. Folders on other file systems are guarded by the writer."""
+    there = [p for p in output_paths(base, parts).values() if os.path.exists(p)]
     if there and not overwrite:
         raise OptionError(f"output exists: {', '.join(there)}")

@@ -32,7 +32,8 @@ SPEC = LibrarySpec.from_dict({
         {"id": "primer_r", "seq_type": "Fixed", "seq": "CAGTGACT"},
     ],
 })
-CONFIG = FilterConfig(True, 73, 82, 34.5)
+#: Bounds that leave most reads and that reads of every kind break.
+CONFIG = FilterConfig(True, 50, 80, 31.2)
 INFRAME = ExtractOptions("inframe")
 
 
@@ -49,9 +50,15 @@ def reads(spark: SparkSession, d: str, paired: bool = False) -> DataFrame:
     return rows.where(F.col("r_seq").isNotNull()).withColumn("r_qual", F.translate("r_seq", "ACGTN", "K5F?#"))
 
 
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """The members of the library; every tenth has a second id, so that some combinations belong to several members."""
+    m = table(spark, d, "library").select("member_no", "_id", clean_sequence(F.col("region1")).alias("region1"), clean_sequence(F.col("region2")).alias("region2"))
+    again = m.where("member_no % 10 = 0").withColumn("_id", F.concat(F.lit("alt_"), "_id"))
+    return m.union(again).drop("member_no")
+
+
 def library(spark: SparkSession, d: str) -> DataFrame:
-    members = table(spark, d, "library")
-    return compile_library(SPEC, members.select("_id", clean_sequence(members["region1"]).alias("region1"), clean_sequence(members["region2"]).alias("region2")))
+    return compile_library(SPEC, members(spark, d), check_ids=False)
 
 
 def _long() -> FilterConfig:
@@ -113,8 +120,16 @@ def inframe_paired_merge(spark: SparkSession, d: str) -> DataFrame:
     return _found(_paired(spark, d))
 
 
+def _cut_short(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs whose forward reads end 4 to 27 bases into region1, of which the reverse reads show the last 14."""
+    size = 18 + F.col("read_no") % 24
+    short = [F.substr(c, F.lit(1), size).alias(c) for c in ("f_seq", "f_qual")]
+    rows = reads(spark, d, True)
+    return rows.select(*[c for c in rows.columns if c not in ("f_seq", "f_qual")], *short)
+
+
 def _by_kind(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    out = _paired(spark, d).where(F.col("reg_region1.kind") == kind)
+    out = extract(_cut_short(spark, d), SPEC, INFRAME, True).where(F.col("reg_region1.kind") == kind)
     return out.select("read_no", F.col("reg_region1.seq").alias("region1"), F.col("reg_region1.split").alias("split"))
 
 
@@ -153,6 +168,12 @@ def align_filter(spark: SparkSession, d: str) -> DataFrame:
     return counts.filtered.groupBy("group").agg(F.sum("bad_alignment").alias("bad_alignment"), F.sum("empty_read").alias("empty_read"))
 
 
+def align_paired(spark: SparkSession, d: str) -> DataFrame:
+    """Both reads of every pair aligned, with the regions they show together."""
+    counts = count_reads(spark, reads(spark, d, True), SPEC, ExtractOptions("align"), _long(), alignment_tolerance=0.6)
+    return counts.counts().select("group", "region1", "region2", "count")
+
+
 def library_dedup(spark: SparkSession, d: str) -> DataFrame:
     return library(spark, d).select("region_id", "seq", F.array_join("ids", ",").alias("ids"))
 
@@ -184,9 +205,9 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, d: str, lib: DataFrame, n: int = 1, metric: str = "hamming") -> DataFrame:
-    combos = cut(_regions(spark, d))
+    combos = _regions(spark, d)
     matches = match_regions(observed_regions(combos, SPEC), lib, SPEC, metric, 3, 10)
-    return cut(c.classify(c.with_matches(combos, matches, ["region1", "region2"]), ["region1", "region2"], n))
+    return c.classify(c.with_matches(combos, matches, ["region1", "region2"]), ["region1", "region2"], n)
 
 
 def overmatched(spark: SparkSession, d: str) -> DataFrame:
@@ -219,9 +240,9 @@ def combination_status(spark: SparkSession, d: str) -> DataFrame:
 
 def multi_sublibrary_product(spark: SparkSession, d: str) -> DataFrame:
     """The two regions as libraries of their own, so that ids combine freely."""
-    m = table(spark, d, "library")
-    parts = [m.select("_id", clean_sequence(m[r]).alias(r)) for r in ("region1", "region2")]
-    return _shown(_classified(spark, d, compile_library(SPEC, *parts), 2))
+    m = members(spark, d)
+    parts = [m.select("_id", r) for r in ("region1", "region2")]
+    return _shown(_classified(spark, d, compile_library(SPEC, *parts, check_ids=False), 2))
 
 
 def library_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +257,7 @@ def seq_diff_subs(spark: SparkSession, d: str) -> DataFrame:
 
 def hgvs_strings(spark: SparkSession, d: str) -> DataFrame:
     """Variants of all regions, those with insertions and deletions at an equal length included; null where nothing matches or all agrees."""
-    out = _classified(spark, d, library(spark, d), metric="levenshtein")
+    out = cut(_classified(spark, d, library(spark, d), metric="levenshtein"))
     rows = [
         out.where(F.col(f"reg_{r}.seq").isNotNull()).select(
             F.lit(r).alias("region"), F.col(f"reg_{r}.seq").alias("seq"), F.array_join(f"match_{r}.hits", ",").alias("hit"), c.variants_column(r).alias("variants")
@@ -247,7 +268,15 @@ def hgvs_strings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sorted_counts(spark: SparkSession, d: str) -> DataFrame:
-    return sort_by_total(count_reads(spark, reads(spark, d), None, config=_long()).counts().select("group", "forward", "count"))
+    return sort_by_total(count_reads(spark, reads(spark, d), None, config=_long()).counts().select("group", "forward", "count"), place="place")
+
+
+def sorted_library_counts(spark: SparkSession, d: str) -> DataFrame:
+    return sort_by_total(library_counts(spark, d), place="place")
+
+
+def sorted_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return sort_by_total(filtered_table(spark, d).drop("proportion"), place="place")
 
 
 def merge_partials_union(spark: SparkSession, d: str) -> DataFrame:
@@ -279,7 +308,7 @@ QUERIES = {
     "filtered_table": filtered_table, "summary_table": summary_table, "max_reads": max_reads, "inframe_single": inframe_single,
     "inframe_paired_merge": inframe_paired_merge, "merge_missing_center": merge_missing_center, "merge_overlapping": merge_overlapping,
     "pattern_exact": pattern_exact, "pattern_tolerant": pattern_tolerant, "pattern_truncated": pattern_truncated, "pattern_paired": pattern_paired,
-    "align_regions": align_regions, "align_filter": align_filter, "library_dedup": library_dedup,
+    "align_regions": align_regions, "align_filter": align_filter, "align_paired": align_paired, "library_dedup": library_dedup,
     "lookup_exact": _lookup("region1", FULL, "exact", 0),
     "lookup_exact_5p": _lookup("region2", HEAD, "exact", 0, 8),
     "lookup_hamming_full": _lookup("region1", FULL, "hamming", 3),
@@ -289,9 +318,13 @@ QUERIES = {
     "lookup_lev_5p": _lookup("region2", HEAD, "levenshtein", 1, 9),
     "lookup_lev_3p": _lookup("region2", TAIL, "levenshtein", 1, 9),
     "lookup_bounded_lev": _lookup("region1", FULL, "bounded-levenshtein", 2),
+    "lookup_bounded_5p": _lookup("region2", HEAD, "bounded-levenshtein", 1, 9),
+    "lookup_bounded_3p": _lookup("region2", TAIL, "bounded-levenshtein", 1, 9),
+    "lookup_exact_3p": _lookup("region2", TAIL, "exact", 0, 8),
     "overmatched": overmatched, "merge_matches": merge_matches, "combination_status": combination_status,
     "multi_sublibrary_product": multi_sublibrary_product, "library_counts": library_counts, "seq_diff_subs": seq_diff_subs,
-    "hgvs_strings": hgvs_strings, "sort_by_total": sorted_counts, "merge_partials_union": merge_partials_union, "counts_table": counts_table,
+    "hgvs_strings": hgvs_strings, "sort_by_total": sorted_counts, "sort_library_counts": sorted_library_counts, "sort_filtered": sorted_filtered,
+    "merge_partials_union": merge_partials_union, "counts_table": counts_table,
 }
 
 _FROM = r"""
@@ -308,9 +341,9 @@ def _quality(text: str) -> str:
     return f"(CASE WHEN length({text}) = 0 THEN CAST(0 AS REAL) ELSE CAST({total} AS REAL) / CAST(length({text}) AS REAL) - CAST(33 AS REAL) END)"
 
 
-_REASON = f"""CASE WHEN f_seq = '' {{e}} THEN 'empty_read' WHEN length(f_seq) < 73 {{s}} THEN 'short_read'
- WHEN length(f_seq) > 82 {{l}} THEN 'long_read' WHEN {_quality('f_qual')} < CAST(34.5 AS REAL) {{q}} THEN 'low_mean_quality' END"""
-_PAIR_REASON = _REASON.format(e="OR r_seq = ''", s="OR length(r_seq) < 73", l="OR length(r_seq) > 82", q=f"OR {_quality('r_qual')} < CAST(34.5 AS REAL)")
+_REASON = f"""CASE WHEN f_seq = '' {{e}} THEN 'empty_read' WHEN length(f_seq) < 50 {{s}} THEN 'short_read'
+ WHEN length(f_seq) > 80 {{l}} THEN 'long_read' WHEN {_quality('f_qual')} < CAST(31.2 AS REAL) {{q}} THEN 'low_mean_quality' END"""
+_PAIR_REASON = _REASON.format(e="OR r_seq = ''", s="OR length(r_seq) < 50", l="OR length(r_seq) > 80", q=f"OR {_quality('r_qual')} < CAST(31.2 AS REAL)")
 _SINGLE_REASON = _REASON.format(e="", s="", l="", q="")
 
 _INFRAME = """
@@ -319,6 +352,7 @@ CASE WHEN length(f_seq) > 72 THEN f_seq[61:72] WHEN length(f_seq) > 60 THEN f_se
 """
 
 # forward and reverse evidence of both regions: f, r the bases, fk, rk how complete
+_CUT = "cutted AS (SELECT * REPLACE (substr(f_seq, 1, CAST(18 + read_no % 24 AS BIGINT)) AS f_seq, substr(f_qual, 1, CAST(18 + read_no % 24 AS BIGINT)) AS f_qual) FROM pairs)"
 _EVIDENCE = f"""
 v AS (SELECT read_no, 28 AS size1, 12 AS size2,
   CASE WHEN length(f_seq) > 42 THEN f_seq[15:42] WHEN length(f_seq) > 14 THEN f_seq[15:] END AS f1,
@@ -368,7 +402,8 @@ FROM z
 """
 
 
-_LIB = "lib AS (SELECT _id, upper(trim(region1)) AS region1, upper(trim(region2)) AS region2 FROM library)"
+_LIB = """lib AS (SELECT _id, upper(trim(region1)) AS region1, upper(trim(region2)) AS region2 FROM library
+UNION ALL SELECT 'alt_' || _id, upper(trim(region1)), upper(trim(region2)) FROM library WHERE member_no % 10 = 0)"""
 
 
 def _search(probe: str, name: str, shown: str, test: str, distance: int, value: str) -> str:
@@ -393,8 +428,9 @@ def _region_matches(limit1: int = 3, limit2: int = 1) -> str:
     def one(i: int, limit: int) -> str:
         r = f"region{i}"
         return f"""
-d{i} AS (SELECT o.seq, l.hit, CASE WHEN length(o.seq) = 0 THEN 0 ELSE hamming(o.seq, l.hit) END AS d
-  FROM (SELECT DISTINCT {r} AS seq FROM o WHERE {r} IS NOT NULL) o JOIN (SELECT DISTINCT {r} AS hit FROM lib WHERE {r} IS NOT NULL) l ON length(o.seq) = length(l.hit)),
+d{i} AS (SELECT o.seq, l.hit, CASE WHEN length(o.part) = 0 THEN 0 ELSE hamming(o.part, l.hit[1:length(o.part)]) END AS d
+  FROM (SELECT DISTINCT {r} AS seq, rtrim({r}, '^') AS part, {r} LIKE '%^' AS open FROM o WHERE {r} IS NOT NULL) o
+  JOIN (SELECT DISTINCT {r} AS hit FROM lib WHERE {r} IS NOT NULL) l ON length(o.part) = length(l.hit) OR (o.open AND length(o.part) < length(l.hit))),
 b{i} AS (SELECT seq, min(d) AS d FROM d{i} WHERE d <= {limit} GROUP BY seq),
 h{i} AS (SELECT seq, d, hit FROM d{i} JOIN b{i} USING (seq, d)),
 m{i} AS (SELECT h.seq, h.d, count(DISTINCT hit) AS n, list_sort(list_distinct(list(lib._id))) AS ids, string_agg(DISTINCT hit, ',' ORDER BY hit) AS hits
@@ -433,9 +469,9 @@ FROM x, n GROUP BY grp, f_seq, r_seq""",
 SELECT grp AS "group", f_seq AS forward, CAST(count(*) AS BIGINT) AS count FROM first WHERE f_seq <> '' GROUP BY ALL""",
     "inframe_single": f"WITH {_FROM} SELECT read_no, {_INFRAME} FROM reads",
     "inframe_paired_merge": f"WITH {_FROM}, {_EVIDENCE} SELECT read_no, {_shown_merged(1)} AS region1, {_shown_merged(2)} AS region2 FROM v",
-    "merge_missing_center": f"""WITH {_FROM}, {_EVIDENCE} SELECT read_no, f1 || '/' || r1 AS region1, CAST(length(f1) AS INTEGER) AS split FROM v
+    "merge_missing_center": f"""WITH {_FROM}, {_CUT}, {_EVIDENCE.replace('FROM pairs', 'FROM cutted')} SELECT read_no, f1 || '/' || r1 AS region1, CAST(length(f1) AS INTEGER) AS split FROM v
 WHERE fk1 = '3' AND rk1 = '5' AND greatest(28 - length(r1), 0) >= length(f1)""",
-    "merge_overlapping": f"""WITH {_FROM}, {_EVIDENCE} SELECT read_no, f1 || '/' || r1 AS region1, CAST(length(f1) AS INTEGER) AS split FROM v
+    "merge_overlapping": f"""WITH {_FROM}, {_CUT}, {_EVIDENCE.replace('FROM pairs', 'FROM cutted')} SELECT read_no, f1 || '/' || r1 AS region1, CAST(length(f1) AS INTEGER) AS split FROM v
 WHERE fk1 = '3' AND rk1 = '5' AND greatest(28 - length(r1), 0) < length(f1)""",
     "pattern_exact": f"WITH {_FROM}, " + _pattern("SELECT read_no, f_seq AS s FROM reads", 0),
     "pattern_tolerant": f"WITH {_FROM}, " + _pattern("SELECT read_no, f_seq AS s FROM reads", 1),
@@ -451,6 +487,9 @@ UNION ALL SELECT 'region2', region2, string_agg(_id, ',' ORDER BY _id) FROM lib
     "lookup_lev_5p": _search("x[1:9]", "region2", "hit[1:least(length(seq), length(hit))]", "length(seq) - length(hit) <= 1", 1, "levenshtein(seq, shown)"),
     "lookup_lev_3p": _search("right(x, 9)", "region2", "right(hit, least(length(seq), length(hit)))", "length(seq) - length(hit) <= 1", 1, "levenshtein(seq, shown)"),
     "lookup_bounded_lev": _search("x", "region1", "hit", "abs(length(hit) - length(seq)) <= 2", 2, "levenshtein(seq, shown)"),
+    "lookup_bounded_5p": _search("x[1:9]", "region2", "hit[1:least(length(seq), length(hit))]", "length(seq) - length(hit) <= 1", 1, "levenshtein(seq, shown)"),
+    "lookup_bounded_3p": _search("right(x, 9)", "region2", "right(hit, least(length(seq), length(hit)))", "length(seq) - length(hit) <= 1", 1, "levenshtein(seq, shown)"),
+    "lookup_exact_3p": _search("right(x, 8)", "region2", "right(hit, length(seq))", "length(hit) >= length(seq)", 0, _HAMMING),
     "overmatched": f"""WITH {_OWN}, {_region_matches()}, u AS (
 SELECT 'region1' AS region_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT region1 AS seq FROM o WHERE region1 IS NOT NULL) LEFT JOIN m1 USING (seq)
 UNION ALL SELECT 'region2', coalesce(n, 0) FROM (SELECT DISTINCT region2 AS seq FROM o WHERE region2 IS NOT NULL) LEFT JOIN m2 USING (seq))
@@ -472,7 +511,8 @@ CASE WHEN x.s IN ('match', 'multimatch') THEN array_to_string(x.b, ',') END AS c
     "seq_diff_subs": f"""WITH {_OWN}, {_region_matches()}, u AS (SELECT DISTINCT seq, hits AS hit FROM m1 WHERE n = 1 AND d > 0)
 SELECT seq, hit, array_to_string(list_filter(list_transform(range(1, CAST(length(seq) + 1 AS BIGINT)), lambda i: CASE WHEN substr(seq, CAST(i AS BIGINT), 1) <> substr(hit, CAST(i AS BIGINT), 1)
 THEN i || substr(hit, CAST(i AS BIGINT), 1) || '>' || substr(seq, CAST(i AS BIGINT), 1) END), lambda t: t IS NOT NULL), ';') AS variants FROM u""",
-    "sort_by_total": f"""WITH {_FROM} SELECT grp AS "group", f_seq AS forward, CAST(count(*) AS BIGINT) AS count FROM reads WHERE f_seq <> '' GROUP BY ALL""",
+    "sort_by_total": f"""WITH {_FROM}, x AS (SELECT grp AS "group", f_seq AS forward, CAST(count(*) AS BIGINT) AS count FROM reads WHERE f_seq <> '' GROUP BY ALL),
+y AS (SELECT *, sum(count) OVER (PARTITION BY forward) AS t FROM x) SELECT "group", forward, count, row_number() OVER (ORDER BY t DESC, forward NULLS FIRST, "group" NULLS FIRST) AS place FROM y""",
     "merge_partials_union": f"""WITH {_FROM} SELECT grp AS "group", f_seq AS forward, CAST(count(*) AS BIGINT) AS count FROM reads GROUP BY ALL""",
     "summary_table": f"""WITH {_FROM}, dd AS (SELECT *, {_SINGLE_REASON} AS reason FROM reads),
 o AS (SELECT grp, region1, region2, CAST(count(*) AS BIGINT) AS count FROM (SELECT grp, {_INFRAME} FROM dd WHERE reason IS NULL) GROUP BY ALL),
@@ -496,3 +536,8 @@ j AS (SELECT a || '/' || b AS seq, coalesce(list_sort(list_intersect(na.hits, nb
 SELECT seq, CASE WHEN len(hits) = 0 THEN 'unmatched' WHEN len(hits) = 1 THEN 'match' ELSE 'multimatch' END AS match, CAST(CASE WHEN len(hits) > 0 THEN d END AS BIGINT) AS distance,
 CASE WHEN len(hits) > 0 THEN array_to_string(hits, ',') END AS hits FROM j""",
 }
+_KEYS = "region1, region2, combination_status, combinations_in_library, combination_id"
+SQL["sort_library_counts"] = f"""WITH x AS ({SQL['library_counts']}), y AS (SELECT *, sum(count) OVER (PARTITION BY {_KEYS}) AS t FROM x)
+SELECT * EXCLUDE (t), row_number() OVER (ORDER BY t DESC, {", ".join(k + " NULLS FIRST" for k in _KEYS.split(", "))}, "group" NULLS FIRST) AS place FROM y"""
+SQL["sort_filtered"] = f"""WITH x AS ({SQL['filtered_table']}), y AS (SELECT *, sum(count) OVER (PARTITION BY forward, reverse) AS t FROM x)
+SELECT * EXCLUDE (t, proportion), row_number() OVER (ORDER BY t DESC, forward NULLS FIRST, reverse NULLS FIRST, "group" NULLS FIRST) AS place FROM y"""

@@ -9,6 +9,7 @@ import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from readweave.errors import OptionError
 
@@ -49,6 +50,21 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", packed).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__once")[n].alias(n) for n in columns])
 
 
+def with_place(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Number the rows from 1 in their order, or in ``order``, without bringing them into one task.
+
+    The ordered rows are written once; each part of them counts its own and starts after those of
+    the parts before it (one row per part, hence a broadcast as small as the number of tasks).
+    """
+    rows = cut(df.orderBy(*order) if order else df).withColumn("__id", F.monotonically_increasing_id())
+    rows = rows.withColumn("__part", F.shiftright("__id", 33))
+    ends = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(starts), "__part").select(*df.columns, place.alias(name))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the package to the Python workers of all executors, once per Spark context.
 
