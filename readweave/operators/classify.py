@@ -31,7 +31,7 @@ def with_matches(combinations: DataFrame, matches: DataFrame, region_ids: list[s
     """Join each region's match to the combinations as ``match_<id>`` structs; null where the region was not seen."""
     out = combinations
     for r in region_ids:
-        m = matches.where(F.col("region_id") == r).select(
+        m = matches.where(F.col("region") == r).select(
             F.col("seq").alias("__s"), F.col("kind").alias("__k"), F.col("split").alias("__p"),
             F.struct("match", "distance", "n_matches", "hits", "ids", "sublib").alias(f"match_{r}"),
         )

@@ -92,9 +92,9 @@ def lookup(probes: DataFrame, library: DataFrame, metric: str, max_distance: int
 
     Probes and library meet by pigeonhole seeds: of limit + 1 chunks of what a library sequence
     shows, one is untouched by at most ``limit`` edits and stands in the probe at the same place
-    (Hamming) or at most ``limit`` places off (Levenshtein). Probes with an equal sequence meet
-    it as a whole; sequences too short to be cut meet by length alone. Everything is one lazy
-    plan over one read of the probes' distinct rows.
+    (Hamming) or at most ``limit`` places off (Levenshtein). Equal sequences meet as a whole,
+    those too short to be cut by length alone. Everything is one lazy plan over one read of the
+    probes' distinct rows.
     """
     if metric not in METRICS:
         raise OptionError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
@@ -106,10 +106,7 @@ def lookup(probes: DataFrame, library: DataFrame, metric: str, max_distance: int
     most = max([most, *limits.values()])
     targets = library.select("region_id", F.col("seq").alias("hit"), "ids")
     p = probes.where(F.col("seq").isNotNull()).select("region_id", "seq", "anchor").dropDuplicates()
-    same = targets.select("region_id", F.col("hit").alias("seq"), F.lit(True).alias("equal"))
-    p = p.join(same, ["region_id", "seq"], "left").select(
-        "region_id", "seq", "anchor", F.length("seq").alias("n"), limit.alias("limit"), F.coalesce("equal", F.lit(False)).alias("equal")
-    )
+    p = p.select("region_id", "seq", "anchor", F.length("seq").alias("n"), limit.alias("limit"))
     lengths = p.select("region_id", "anchor", "n", "limit").dropDuplicates()
     shown = targets.join(lengths, "region_id").where(_length_fits(lev))
     size = F.least(F.col("n"), F.length("hit"))
@@ -130,7 +127,10 @@ def lookup(probes: DataFrame, library: DataFrame, metric: str, max_distance: int
     target_seeds = shown.select(
         "region_id", "anchor", "n", "m", "hit", "ids", "shown", packed_bases(F.col("shown")).alias("shown_bits"), F.explode(F.concat(cut_up, equal)).alias("s")
     ).select("region_id", "anchor", "n", "m", "hit", "ids", "shown", "shown_bits", "s.i", "s.chunk")
-    sizes = shown.select("region_id", "anchor", "n", "m").dropDuplicates()
+    if lev:
+        sized = p.join(shown.select("region_id", "anchor", "n", "m").dropDuplicates(), ["region_id", "anchor", "n"])
+    else:
+        sized = p.withColumn("m", F.col("n"))  # what is shown is as long as the probe
     seeds = []
     for i in range(most + 1):
         for d in range(-most, most + 1) if lev else (0,):
@@ -138,9 +138,10 @@ def lookup(probes: DataFrame, library: DataFrame, metric: str, max_distance: int
             fits = (F.lit(i) <= F.col("limit")) & (F.lit(abs(d)) <= F.col("limit")) & (at >= 0) & (at + long <= F.col("n"))
             seeds.append(F.when(fits, seed(i, F.substr("seq", at + 1, long))))
     some = F.array_distinct(F.array_compact(F.array(*seeds)))
-    own = F.when(F.col("equal"), F.array(seed(-2, F.col("seq")))).when(whole, F.array().cast(CHUNKS)).when(short, F.array(seed(-1, F.lit("")))).otherwise(some)
-    probe_seeds = p.join(sizes, ["region_id", "anchor", "n"]).where(~F.col("equal") | (F.col("m") == F.col("n"))).select(
-        "region_id", "anchor", "n", "m", "seq", "limit", packed_bases(F.col("seq")).alias("bits"), F.explode(own).alias("s")
+    near = F.when(whole, F.array().cast(CHUNKS)).when(short, F.array(seed(-1, F.lit("")))).otherwise(some)
+    equal = F.when(F.col("m") == F.col("n"), F.array(seed(-2, F.col("seq")))).otherwise(F.array().cast(CHUNKS))
+    probe_seeds = sized.select(
+        "region_id", "anchor", "n", "m", "seq", "limit", packed_bases(F.col("seq")).alias("bits"), F.explode(F.concat(equal, near)).alias("s")
     )
     probe_seeds = probe_seeds.select("region_id", "anchor", "n", "m", "seq", "limit", "bits", "s.i", "s.chunk")
     met = probe_seeds.join(target_seeds, ["region_id", "anchor", "n", "m", "i", "chunk"])
@@ -151,7 +152,8 @@ def lookup(probes: DataFrame, library: DataFrame, metric: str, max_distance: int
     met = met.withColumn("distance", F.when(F.col("i") == -2, 0).otherwise(value).cast("int")).where("distance >= 0 and distance <= limit")
     # a probe has as many near sequences as the library offers, and the shorter a probe the fewer of its kind
     near = met.groupBy("region_id", "seq", "anchor").agg(F.collect_set(F.struct("distance", "hit", "ids")).alias("near"), F.min("distance").alias("distance"))
-    best = F.filter("near", lambda x: x["distance"] == F.col("distance"))
+    same = F.exists("near", lambda x: x["hit"] == F.col("seq"))
+    best = F.filter("near", lambda x: F.when(same, x["hit"] == F.col("seq")).otherwise(x["distance"] == F.col("distance")))
     found = F.array_sort(F.transform(best, lambda x: F.struct(x["hit"].alias("hit"), x["ids"].alias("ids"))))
     near = near.select("region_id", "seq", "anchor", "distance", found.alias("found"))
     return near.select("*", F.col("found.hit").alias("hits"), ids_of("found").alias("ids"))
@@ -186,7 +188,8 @@ def match_regions(
 ) -> DataFrame:
     """The library match of every observed region: ``match, distance, n_matches, hits, ids, sublib``.
 
-    Fragments on either side of a gap are looked up apart, each with its own nearest hits, and
+    ``region`` repeats region_id as an aggregate, below which no filter is pushed: whoever asks
+    for one region at a time reads one and the same search. Fragments on either side of a gap are looked up apart, each with its own nearest hits, and
     what both hit counts, at the sum of the distances.
     """
     probes = probes_of(regions)
@@ -198,6 +201,7 @@ def match_regions(
         F.max(F.when(F.col("part") <= 1, F.col("found"))).alias("a"),
         F.max(F.when(F.col("part") == 2, F.col("found"))).alias("b"),
         F.max("part").alias("parts"),
+        F.max("region_id").alias("region"),
     )
     none = F.array().cast(FOUND)
     a, b = F.coalesce("a", none), F.coalesce("b", none)
@@ -213,7 +217,7 @@ def match_regions(
     out = joined.withColumn("match", kind)
     shown = F.col("match").isin(MATCH, MULTI)
     return out.select(
-        *keys, "match", F.when(n > 0, F.col("distance")).cast("bigint").alias("distance"), n.cast("bigint").alias("n_matches"),
+        *keys, "region", "match", F.when(n > 0, F.col("distance")).cast("bigint").alias("distance"), n.cast("bigint").alias("n_matches"),
         F.when(shown, F.col("found.hit")).alias("hits"), F.when(shown, ids_of("found")).alias("ids"), "sublib",
     )
 
