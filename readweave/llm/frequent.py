@@ -101,10 +101,11 @@ def most_frequent(df: DataFrame, columns: Sequence[str], k: int, partitions: int
         .sortWithinPartitions("field", "value")
         .mapInArrow(_heap_of_range(k), _RUNS)
     )
-    merged = runs.groupBy("field", "value").agg(F.sum("n").alias("n"))
-    # at most k + 2 rows per range and column come this far
-    totals = merged.where(F.col("value").isNull()).select(F.col("field"), F.col("n").alias("rows"))
-    return merged.where(F.col("value").isNotNull()).join(totals, "field").select("field", "value", "n", "rows")
+    # at most k + 3 rows per range and column come this far. What tells totals from values is an aggregate, below which
+    # no filter is pushed, so that both are read from one shuffle and the ranges are gone through once
+    merged = runs.groupBy("field", "value").agg(F.sum("n").alias("n"), F.max(F.col("value").isNull()).alias("__total"))
+    totals = merged.where("__total").select(F.col("field"), F.col("n").alias("rows"))
+    return merged.where("not __total").join(totals, "field").select("field", "value", "n", "rows")
 
 
 def frequent_from_share(df: DataFrame, columns: Sequence[str], per_mille: int, partitions: int | None = None) -> DataFrame:
