@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: -log10 of a p-value is kept in steps of 1/STEPS up to LIMIT for the false-discovery table.
-STEPS, LIMIT = 100, 400
+from readweave.session import cut
+
+#: -log10 of a p-value is ranked in steps of 1/STEPS up to FINE, and beyond, where no double holds the p-value
+#: any more, in steps of a tenth of a per cent of itself.
+STEPS, FINE, COARSE = 100, 400, 1000
 
 
 def fit_null(degrees: np.ndarray, items: np.ndarray, sizes: np.ndarray, baskets: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -92,104 +95,115 @@ def surprise(n12: np.ndarray, q: np.ndarray, baskets: np.ndarray) -> np.ndarray:
     return np.maximum(-np.minimum(log_p, 0.0) / math.log(10), 0.0)
 
 
-def _surprise_column(n12: Column, n1: Column, n2: Column, total: Column, y: np.ndarray | None, baskets: np.ndarray | None) -> Column:
-    """The surprise as a column. Without ``y`` all baskets hold both items, where the fit has
-    the closed form p_i = n_i / total; else ``y`` and ``baskets`` are those of sizes 1 and 2."""
+def _surprise_column(n12: Column, d1: Column, d2: Column, y: np.ndarray, baskets: np.ndarray) -> Column:
+    """The surprise, and that of the pair being there at all, as a struct; ``y`` and ``baskets`` are those of the
+    fitted null, the last ones of baskets of both items."""
 
-    @F.arrow_udf(T.DoubleType())
-    def run(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @F.arrow_udf(T._parse_datatype_string("struct<all:double,seen:double>"))
+    def run(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for part in parts:
-            a, b, c, t = (np.asarray(x.to_numpy(zero_copy_only=False), dtype=float) for x in part)
-            if not len(a):
-                yield pa.array([], pa.float64())
-                continue
-            if y is None:
-                # every total is the same number; it is one class of baskets
-                q = (b / t) * (c / t)
-                yield pa.array(surprise(a, q[:, None], t[:1]), pa.float64())
-            else:
-                both = y[-1:]
-                pb, pc = (fugacity(v, y, baskets) for v in (b, c))
-                q = np.outer(pb, both) / (1 + np.outer(pb, both)) * np.outer(pc, both) / (1 + np.outer(pc, both))
-                yield pa.array(surprise(a, q, baskets[-1:]), pa.float64())
-
-    return run(n12, n1, n2, total)
+            a, b, c = (np.asarray(x.to_numpy(zero_copy_only=False), dtype=float) for x in part)
+            value, seen = np.zeros(len(a)), np.zeros(len(a))
+            if len(a) and len(y):
+                q = linked(b, y, baskets) * linked(c, y, baskets)
+                value = surprise(a, q[:, None], baskets[-1:])
+                seen = -np.log10(np.maximum(-np.expm1(baskets[-1] * np.log1p(-np.minimum(q, 1 - 1e-12))), 1e-300))
+            yield pa.StructArray.from_arrays([pa.array(value), pa.array(seen)], ["all", "seen"])
+
+    return run(n12, d1, d2)
+
+
+def linked(degree: np.ndarray, y: np.ndarray, baskets: np.ndarray) -> np.ndarray:
+    """The null's probability that an item of each degree is in a given basket of the largest size."""
+    kinds, place = np.unique(degree, return_inverse=True)
+    x = fugacity(kinds, y, baskets) * y[-1]
+    return (x / (1 + x))[place]
 
 
 def cooccurrence(
-    records: DataFrame, left: str, right: str, weight: str, min_count: int = 0, single: bool = False
+    records: DataFrame, left: str, right: str, weight: str, min_count: int = 0, null: bool = True
 ) -> DataFrame:
     """Weighted counts of (left, right) values that one record holds together, and their surprise.
 
-    Every record is a basket of its left and its right item, taken ``weight`` times. The exact
-    pair counts n12 are aggregated first (with map-side combining, so a hot item arrives at the
-    shuffles as few states); n1, n2 and the total come from the pair states. The null is the
-    bipartite configuration model that keeps every item's frequency and every basket's size; n12
-    is then Poisson-binomial, and ``surprise`` is -log10 of its upper tail.
-
-    Result: ``left, right, n12, n1, n2, total, expected, lift, surprise`` for pairs with n12 >=
-    ``min_count``; counts always cover all records. Records in which an item is null hold no
-    pair; with ``single`` they still count as baskets of size one in the null (fitted by
-    iteration), else only complete records are baskets. Null weights are 0. Repeated records add
-    up; an empty table gives an empty result; only the three named columns are read.
+    Every record is a basket of its left and its right item, taken ``weight`` times; a record in
+    which one item is null is a basket of size one. The records are reduced to pair states first
+    (with map-side combining, so a hot item arrives at the shuffles as few states), which are
+    written once; all counts come from them. ``n12`` is the exact pair count, ``n1``, ``n2`` and ``total``
+    are those of the records with both items, ``d1`` and ``d2`` the items' counts over all records.
+
+    The null is the bipartite configuration model fitted to every item's frequency d and every
+    basket's size (see :func:`fit_null`; frequencies enter the fit as a histogram in steps of
+    1 %, so it is bounded and off by at most half of that). n12 is Poisson-binomial under it,
+    ``surprise`` is -log10 of its upper tail, ``surprise_seen`` that of the tail given that the pair occurs at
+    all, and ``observed`` the number of pairs that do.
+
+    Result: ``left, right, n12, n1, n2, total, expected, lift`` and, with ``null``, ``d1, d2, observed,
+    surprise, surprise_seen``, for pairs with n12 >= ``min_count``; counts always cover all records. Null weights
+    are 0. Repeated records add up; an empty table gives an empty result; only the three named
+    columns are read.
     """
     rows = records.select(
         records[left].alias("left"), records[right].alias("right"),
         F.coalesce(records[weight], F.lit(0)).cast("bigint").alias("w"),
     )
-    full = rows.where(F.col("left").isNotNull() & F.col("right").isNotNull())
-    pairs = full.groupBy("left", "right").agg(F.sum("w").alias("n12"))
-    lefts = pairs.groupBy("left").agg(F.sum("n12").alias("n1"))
-    rights = pairs.groupBy("right").agg(F.sum("n12").alias("n2"))
-    total = lefts.agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("t")).scalar()
-    y = baskets = None
-    n1, n2 = F.col("n1"), F.col("n2")
-    if single:
-        lefts = rows.where(F.col("left").isNotNull()).groupBy("left").agg(F.sum("w").alias("n1"))
-        rights = rows.where(F.col("right").isNotNull()).groupBy("right").agg(F.sum("w").alias("n2"))
-        y, baskets = _fit_from_tables(rows, lefts, rights)
-    kept = pairs.where(F.col("n12") >= min_count) if min_count > 0 else pairs
-    out = kept.join(lefts, "left").join(rights, "right").withColumn("total", total)
-    expected = n1.cast("double") * n2.cast("double") / F.nullif(F.col("total"), F.lit(0)).cast("double")
+    states = cut(rows.where(F.col("left").isNotNull() | F.col("right").isNotNull()).groupBy("left", "right").agg(F.sum("w").alias("n12")))
+    both = F.col("left").isNotNull() & F.col("right").isNotNull()
+    counts = [states.where(F.col(side).isNotNull()).groupBy(side).agg(F.sum(F.when(both, F.col("n12"))).alias(f"n{i}"), F.sum("n12").alias(f"d{i}")) for i, side in ((1, "left"), (2, "right"))]
+    total = states.where(both).agg(F.coalesce(F.sum("n12"), F.lit(0)).alias("t")).scalar()
+    pairs = states.where(both & (F.col("n12") >= min_count))
+    out = pairs.join(counts[0], "left").join(counts[1], "right").withColumn("total", total)
+    expected = F.col("n1").cast("double") * F.col("n2").cast("double") / F.nullif(F.col("total"), F.lit(0)).cast("double")
     out = out.withColumn("expected", expected).withColumn(
         "lift", F.when(F.col("expected") > 0, F.col("n12") / F.col("expected"))
     )
-    value = F.when(
-        F.col("expected") > 0, _surprise_column(F.col("n12"), n1, n2, F.greatest(F.col("total"), F.lit(1)), y, baskets)
-    )
-    return out.select("left", "right", "n12", "n1", "n2", "total", "expected", "lift", value.alias("surprise"))
-
-
-def _fit_from_tables(rows: DataFrame, lefts: DataFrame, rights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Fit of the null from two bounded histograms: degrees in steps of 1 %, and two sizes."""
-    degree = lefts.select(F.col("n1").alias("d")).union(rights.select("n2")).where("d > 0")
-    step = F.round(F.log(F.col("d")) * 100).cast("int")
+    known = ["left", "right", "n12", "n1", "n2", "total", "expected", "lift"]
+    if not null:
+        return out.select(*known)
+    y, baskets, observed = _fit(states, both, *counts)
+    out = out.withColumn("__x", F.when(F.col("expected") > 0, _surprise_column(F.col("n12"), F.col("d1"), F.col("d2"), y, baskets)))
+    seen = F.greatest(F.col("__x.all") - F.col("__x.seen"), F.lit(0.0)).alias("surprise_seen")
+    return out.select(*known, "d1", "d2", F.lit(observed).alias("observed"), F.col("__x.all").alias("surprise"), seen)
+
+
+def _fit(states: DataFrame, both: Column, lefts: DataFrame, rights: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The null fitted to two bounded histograms, degrees in steps of 1 % and two sizes; and the number of pairs that occur."""
+    degree = lefts.select(F.col("d1").alias("d")).union(rights.select("d2"))
+    step = F.when(F.col("d") > 0, F.round(F.log(F.nullif("d", F.lit(0))) * 100)).cast("int")
     hist = degree.groupBy(step.alias("b")).agg(F.avg("d").alias("d"), F.count(F.lit(1)).alias("n")).collect()
-    size = F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), 2).otherwise(1)
-    some = rows.where(F.col("left").isNotNull() | F.col("right").isNotNull())
-    sizes = {r["s"]: r["n"] or 0 for r in some.groupBy(size.alias("s")).agg(F.sum("w").alias("n")).collect()}
-    baskets = np.array([sizes.get(1, 0), sizes.get(2, 0)], float)
+    number = lambda when, what: F.coalesce(F.sum(F.when(when, what)), F.lit(0))
+    sizes = states.agg(number(both, F.col("n12")), number(~both, F.col("n12")), number(both & (F.col("n12") > 0), F.lit(1))).first()
+    baskets = np.array([sizes[1], sizes[0]], float)
     used = baskets > 0
-    y = fit_null([r["d"] for r in hist], [r["n"] for r in hist], np.array([1.0, 2.0])[used], baskets[used])
-    return y, baskets[used]
-
-
-def with_false_discovery(pairs: DataFrame, left: str = "left", right: str = "right", surprise: str = "surprise") -> DataFrame:
-    """Add ``q_value``, the Benjamini-Hochberg bound over all possible item pairs.
-
-    The ranks come from a table of -log10 p in steps of 1/100 up to 400 (at most 40,001 rows
-    however large the input, so it is broadcast) instead of a global sort; rounding goes to
-    the careful side, so q_value never lies below the exact one and is at most 2.4 % above it
-    at the same rank. Pairs without surprise have no q_value.
+    seen = [r for r in hist if r["b"] is not None]
+    if not used[1] or not seen:
+        return np.empty(0), np.empty(0), sizes[2]
+    y = fit_null([r["d"] for r in seen], [r["n"] for r in seen], np.array([1.0, 2.0])[used], baskets[used])
+    return y, baskets[used], sizes[2]
+
+
+def with_false_discovery(pairs: DataFrame, surprise: str = "surprise_seen", tests: str = "observed") -> DataFrame:
+    """Add ``q_value``, the Benjamini-Hochberg bound over all pairs that occur.
+
+    Pairs that do not occur are not tested, so each p-value is the tail given that the pair occurs.
+    The ranks come from a table of -log10 p in steps (40,001 of them up to FINE, beyond it one per
+    thousandth, so its size follows the logarithm of the surprise and it is broadcast) instead of
+    a global sort; rounding goes to the careful side, so q_value never lies below the exact one
+    and is at most 2.4 % above it at the same rank. Where ``pairs`` are some of the tested ones
+    only, such as those of a least count, ranks count those given, which can only raise q_value.
+    Pairs without surprise have no q_value.
     """
-    step = F.floor(F.least(F.col(surprise), F.lit(float(LIMIT))) * STEPS).cast("int")
+    s = F.col(surprise)
+    step = F.when(s < FINE, F.floor(s * STEPS)).otherwise(FINE * STEPS + F.floor(F.log(F.greatest(s, F.lit(1.0)) / FINE) * COARSE)).cast("int")
     rows = pairs.withColumn("__b", step)
-    tests = pairs.agg(
-        (F.count_distinct(left) * F.count_distinct(right)).cast("double").alias("m")
-    ).scalar()
-    table = rows.where(F.col("__b").isNotNull()).groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    table = rows.where(F.col("__b").isNotNull()).groupBy("__b").agg(F.count(F.lit(1)).alias("__n"), F.max(tests).cast("double").alias("__m"))
     above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, 0)
     below = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    raw = tests * F.pow(F.lit(10.0), -F.col("__b") / STEPS) / F.sum("__n").over(above)
+    # from FINE on the p-value is below the smallest double, and so is the bound
+    raw = F.col("__m") * F.pow(F.lit(10.0), -F.least(F.col("__b") / STEPS, F.lit(float(FINE)))) / F.sum("__n").over(above)
     table = table.withColumn("__q", raw).select("__b", F.least(F.min("__q").over(below), F.lit(1.0)).alias("q_value"))
     return rows.join(F.broadcast(table), "__b", "left").drop("__b")
+
+
+def discoveries(pairs: DataFrame, level: float) -> DataFrame:
+    """The pairs the null rejects at a false-discovery rate of ``level``."""
+    return with_false_discovery(pairs).where(F.col("q_value") <= level)
