@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator, Sequence
 
@@ -18,13 +19,13 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces kept per worker before its cache starts anew; a matter of memory, not of results.
 CACHE = 400_000
-#: Pieces above this many bytes are merged one by one instead of in matrices.
-LONG = 256
+#: Cells of a matrix of pieces; a matter of memory, not of results.
+CELLS = 1 << 19
 _NONE = np.int32(2**31 - 1)
 
 
-def load_merges(path: str = VOCABULARY) -> dict[str, np.ndarray]:
-    """Ids of single bytes, and (left id, right id, merged id) in merge order, of a byte-level BPE file."""
+def load_merges(path: str = VOCABULARY) -> dict:
+    """Ids of single bytes, and (left id, right id, merged id) in merge order, of a byte-level BPE file; and a token that tells files apart."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     vocab = model["vocab"]
@@ -34,7 +35,8 @@ def load_merges(path: str = VOCABULARY) -> dict[str, np.ndarray]:
     shown |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     merges = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], dtype=np.int64).reshape(-1, 3)
-    return {"bytes": np.array([vocab[shown[b]] for b in range(256)], np.int32), "merges": merges}
+    single = np.array([vocab[shown[b]] for b in range(256)], np.int32)
+    return {"bytes": single, "merges": merges, "token": hashlib.sha256(single.tobytes() + merges.tobytes()).hexdigest()}
 
 
 class PairTable:
@@ -98,82 +100,60 @@ class Encoder:
         self.lens = np.empty(1 << 14, np.int64)
 
     def merge_rows(self, pieces: Sequence[bytes]) -> list[np.ndarray]:
-        """Ids of each piece. Pieces of similar length form one padded matrix; in every round
-        each row merges its leftmost pair of least rank, and rows without a pair leave."""
+        """Ids of each piece. Pieces of similar length form one padded matrix, whatever the length; in every
+        round each row merges its pairs of least rank, and rows without a pair leave."""
         out: list = [None] * len(pieces)
         lens = np.array([len(p) for p in pieces])
-        width = np.where(lens <= 16, lens, (lens + 7) // 8 * 8)
+        # lengths are rounded up to one of eight steps within each power of two: at most an eighth is padding
+        step = 2 ** np.maximum(np.floor(np.log2(np.maximum(lens, 1))).astype(np.int64) - 3, 0)
+        width = np.maximum(-(-lens // step) * step, 1)
         for w in np.unique(width):
             places = np.flatnonzero(width == w)
-            if w > LONG:
-                for i in places:
-                    out[i] = self.merge_long(pieces[i])
-                continue
-            for at in range(0, len(places), 8192):
-                self._merge_matrix([pieces[i] for i in places[at : at + 8192]], int(w), places[at : at + 8192], out)
+            rows = max(CELLS // int(w), 1)
+            for at in range(0, len(places), rows):
+                self._merge_matrix([pieces[i] for i in places[at : at + rows]], int(w), places[at : at + rows], out)
         return out
 
-    def _merge_matrix(self, pieces: list[bytes], w: int, places: np.ndarray, out: list) -> None:
-        raw = np.array(pieces, dtype=f"S{max(w, 1)}").view(np.uint8).reshape(len(pieces), max(w, 1))
+    def _merge_matrix(self, pieces: list[bytes], w: int, rows: np.ndarray, out: list) -> None:
+        """Merge the rows of one matrix.
+
+        A row's leftmost pair of least rank comes first, then the next pair of that rank, and
+        so on: a merge only makes pairs of higher rank, so all of them are done in one round
+        (of neighbouring ones, which share an id, every second from the left)."""
+        raw = np.array(pieces, dtype=f"S{w}").view(np.uint8).reshape(len(pieces), w)
         lens = np.array([len(p) for p in pieces])
-        ids = np.where(np.arange(raw.shape[1]) < lens[:, None], self.byte_ids[raw], -1).astype(np.int32)
-        rows = places
-        ranks = self.table.ranks_of(ids[:, :-1], ids[:, 1:])
+        ids = np.where(np.arange(w) < lens[:, None], self.byte_ids[raw], -1).astype(np.int32)
+        ranks = np.full(ids.shape, _NONE)
+        ranks[:, :-1] = self.table.ranks_of(ids[:, :-1], ids[:, 1:])
         while len(rows):
-            n, width = ids.shape
-            if width == 1:
-                at, best = np.zeros(n, np.int64), np.full(n, _NONE)
-            else:
-                at = ranks.argmin(1)
-                best = ranks[np.arange(n), at]
+            best = ranks.min(1)
             done = best == _NONE
             if done.any():
-                for i, row in zip(rows[done], ids[done]):
-                    out[i] = row[row >= 0]
-                ids, ranks, rows, at, best = ids[~done], ranks[~done], rows[~done], at[~done], best[~done]
-                n = len(rows)
-                if not n:
+                for i, row, n in zip(rows[done], ids[done], lens[done]):
+                    out[i] = row[:n]
+                ids, ranks, rows, best, lens = ids[~done], ranks[~done], rows[~done], best[~done], lens[~done]
+                if not len(rows):
                     break
-            line = np.arange(n)
-            ids[line, at] = self.merged[best]
-            keep = np.ones(ids.shape, bool)
+            line, at = np.nonzero(ranks == best[:, None])
+            flat = line * ids.shape[1] + at
+            start = np.r_[True, np.diff(flat) > 1]
+            run = np.arange(len(flat)) - np.maximum.accumulate(np.where(start, np.arange(len(flat)), 0))
+            line, at = line[run % 2 == 0], at[run % 2 == 0]
+            ids[line, at] = self.merged[best[line]]
+            keep = np.arange(ids.shape[1]) < lens[:, None]
             keep[line, at + 1] = False
-            ids = ids[keep].reshape(n, -1)
-            keep = np.ones(ranks.shape, bool)
-            keep[line, at] = False
-            ranks = ranks[keep].reshape(n, -1)
-            before = np.flatnonzero(at > 0)
-            ranks[before, at[before] - 1] = self.table.ranks_of(ids[before, at[before] - 1], ids[before, at[before]])
-            after = np.flatnonzero(at < ids.shape[1] - 1)
-            ranks[after, at[after]] = self.table.ranks_of(ids[after, at[after]], ids[after, at[after] + 1])
-
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """One very long piece: every round merges all places of the least rank, left to right.
-
-        A merge only makes pairs of higher rank, so this equals one merge at a time."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        ranks = self.table.ranks_of(ids[:-1], ids[1:])
-        while len(ids) > 1:
-            best = ranks.min()
-            if best == _NONE:
-                break
-            at = np.flatnonzero(ranks == best)
-            # of neighbouring places (equal halves) every second one merges, from the left
-            start = np.r_[True, np.diff(at) > 1]
-            run = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-            at = at[run % 2 == 0]
-            ids = ids.copy()
-            ids[at] = self.merged[best]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            ids = ids[keep]
-            place = at - np.arange(len(at))
-            keep = np.ones(len(ranks), bool)
-            keep[at] = False
-            ranks = ranks[keep]
-            touched = np.unique(np.concatenate([place[place > 0] - 1, place[place < len(ids) - 1]]))
-            ranks[touched] = self.table.ranks_of(ids[touched], ids[touched + 1])
-        return ids
+            lens = keep.sum(1)
+            # compaction: what is kept moves to the left, and the matrix narrows to its longest row
+            moved = (np.cumsum(keep, 1) - 1)[line, at]
+            inside = np.arange(int(lens.max())) < lens[:, None]
+            new_ids, new_ranks = np.full(inside.shape, -1, np.int32), np.full(inside.shape, _NONE)
+            new_ids[inside], new_ranks[inside] = ids[keep], ranks[keep]
+            ids, ranks = new_ids, new_ranks
+            for row, place in ((line, moved), (line[moved > 0], moved[moved > 0] - 1)):
+                last = place >= lens[row] - 1
+                ranks[row[last], place[last]] = _NONE
+                row, place = row[~last], place[~last]
+                ranks[row, place] = self.table.ranks_of(ids[row, place], ids[row, place + 1])
 
     def _add(self, new: list[str]) -> None:
         """Merge pieces met for the first time and append their ids to the flat store."""
@@ -230,17 +210,15 @@ class Encoder:
         return np.diff(np.r_[0, np.cumsum(self.lens[places])][marks])
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(merges: dict) -> Encoder:
     """The encoder of this worker process; the merges arrive once as a broadcast of about 1 MB."""
-    key = id(shared) if not hasattr(shared, "id") else shared.id
-    if key not in _ENCODERS:
+    if merges["token"] not in _ENCODERS:
         _ENCODERS.clear()
-        value = shared.value
-        _ENCODERS[key] = Encoder(value["bytes"], value["merges"])
-    return _ENCODERS[key]
+        _ENCODERS[merges["token"]] = Encoder(merges["bytes"], merges["merges"])
+    return _ENCODERS[merges["token"]]
 
 
 def _blocks(texts: pa.Array, most: int = 1 << 22) -> Iterator[list[str | None]]:
@@ -268,7 +246,7 @@ def token_ids(spark: SparkSession, text: Column, path: str = VOCABULARY) -> Colu
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared.value)
         for part in parts:
             ids, sizes = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
             for block in _blocks(part):
@@ -286,7 +264,7 @@ def token_count(spark: SparkSession, text: Column, path: str = VOCABULARY) -> Co
 
     @F.arrow_udf(T.IntegerType())
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared.value)
         for part in parts:
             counts = [np.empty(0, np.int64), *(encoder.count(block) for block in _blocks(part))]
             yield pa.array(np.concatenate(counts), pa.int32())
