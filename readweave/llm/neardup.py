@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,25 +16,27 @@ from readweave.session import cut, shuffle_partitions
 
 #: Letters of an anchor and of the segment on either side of it (2 bits a letter, 22 of 23 bits).
 ANCHOR, SEGMENT = 8, 11
-#: Letters a segment cut off by the text's end must have.
-PART = 5
+#: Letters a segment cut off by the text's end must have, and those of a segment beside a block that moved.
+PART, NEAR = 3, 6
 #: Anchors per text: at least LEAST, and one in EVERY of all its places, those of least rank.
-LEAST, EVERY = 7, 7
-#: Texts below this length also have keys that no move of a block changes.
-MOVED = 48
-#: Texts below this length also meet by their single grams.
-SHORT = 16
+LEAST, EVERY = 14, 7
+#: Texts below this length, too short for an anchor with a segment, also meet by their single grams: all of them, so exactly.
+SHORT = ANCHOR + PART + 5
 #: An anchor that more than one text in COMMON holds, and LARGE texts besides, may be part of a fixed piece.
 COMMON, LARGE = 200, 500
 #: Of a text with fixed pieces at most this share of anchors, in tenths, is marked; a family's texts have more.
 PIECES = 5
 FIXED = 1 << 24
 _BUCKETS = 1 << (2 * ANCHOR)
+_GRAMS = 1 << 10
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Marks keys that are compared as they are; others hold side, anchor and word in 41 bits.
-EXACT = 1 << 41
-#: Segment rows a partition is meant to hold.
-ROWS = 300_000
+_WORD = (1 << (2 * SEGMENT)) - 1
+#: Rows a partition is meant to hold, and rows of one anchor that are compared in one piece.
+ROWS, BUCKET = 300_000, 20_000
+#: Pairs of copies a task is meant to make of one class, per copy.
+COPIES = 256
+#: A class that holds more than one row in HOT is hot; there are fewer than HOT of them.
+HOT = 1024
 
 
 def _letters(texts: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,17 +80,25 @@ def _by_length(texts: list[bytes], cells: int = 1 << 20) -> Iterator[np.ndarray]
         start = stop
 
 
-def anchor_counts(texts: list[bytes]) -> np.ndarray:
-    """How many of the texts hold each of the 65,536 anchors."""
-    out = np.zeros(_BUCKETS, np.int64)
-    for block in _by_length(texts):
-        codes, _, lens = _letters([texts[i] for i in block], 0)
-        n = max(int(lens.max()) - ANCHOR + 1, 1)
-        anchors = _windows(codes, 0, n, ANCHOR)
-        anchors[np.arange(n) >= np.maximum(lens - ANCHOR + 1, 1)[:, None]] = _BUCKETS
-        anchors.sort(axis=1)
-        anchors[:, 1:][anchors[:, 1:] == anchors[:, :-1]] = _BUCKETS
-        out += np.bincount(anchors.ravel(), minlength=_BUCKETS + 1)[:_BUCKETS]
+def key_counts(texts: list[bytes], gram: int) -> np.ndarray:
+    """How many of the texts hold each of the 65,536 anchors, and how many of the short ones each of 1,024 kinds of grams."""
+    out = np.zeros(_BUCKETS + _GRAMS, np.int64)
+
+    def add(some: list[bytes], size: int, first: int, kinds: int) -> None:
+        for block in _by_length(some):
+            codes, _, lens = _letters([some[i] for i in block], 0)
+            n = max(int(lens.max()) - size + 1, 1)
+            wide = np.pad(codes, ((0, 0), (0, max(0, n + size - codes.shape[1]))))
+            keys = _windows(wide, 0, n, size) % kinds
+            keys[np.arange(n) >= np.maximum(lens - size + 1, 1)[:, None]] = kinds
+            keys.sort(axis=1)
+            keys[:, 1:][keys[:, 1:] == keys[:, :-1]] = kinds
+            out[first : first + kinds] += np.bincount(keys.ravel(), minlength=kinds + 1)[:kinds]
+
+    add(texts, ANCHOR, 0, _BUCKETS)
+    short = [t for t in texts if gram <= len(t) < SHORT]
+    if short:
+        add(short, gram, _BUCKETS, _GRAMS)
     return out
 
 
@@ -116,18 +125,20 @@ def _least(order: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, at[row, col]
 
 
-def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the text, segment) rows of a batch.
+def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the text, key, form) rows of a batch: one per chosen anchor.
 
     Anchors are chosen by :func:`anchor_ranks`, those of fixed pieces after all others; a text
     made of marked anchors belongs to a family, and has as many again without heed to marks.
 
-    A text's fingerprint is the list of its chosen anchors, each with the segment of 11
-    letters before and after it as 23-bit words. A row holds side, anchor and word; what the
-    word decodes to is worked out where equal anchors meet (:func:`decoded`). Letters differ by
-    one or two bits, so a segment with one changed letter still meets.
+    A text's fingerprint is the list of its chosen anchors, each with the segments of 11
+    letters before and after it as 22-bit words: together the key. The form tells how many letters
+    the text has on either side, up to 11. What the words decode to is worked out where equal
+    anchors meet (:func:`decoded`). Letters differ by one or two bits, so a segment with one
+    changed letter still meets. Short texts have a row for each of their grams besides, of a form
+    with bit 8 set.
     """
-    places, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    places, keys, forms = ([np.empty(0, np.int64)] for _ in range(3))
     for block in _by_length(texts):
         codes, ring, lens = _letters([texts[i] for i in block], SEGMENT)
         n = max(int(lens.max()) - ANCHOR + 1, 1)
@@ -141,43 +152,61 @@ def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.nda
         if len(family):
             more, there = _least(order[family] & ~np.int64(FIXED), chosen[family])
             row, at = np.divmod(np.unique(np.r_[row * n + at, family[more] * n + there]), n)
-        anchor = anchors[row, at]
-        rest = lens[row] - at - ANCHOR
-        before, after = (at < SEGMENT) & (at >= PART), (rest < SEGMENT) & (rest >= PART)
-        for side, letters, shift, some in (
-            (0, ring, 0, None),
-            (1, ring, SEGMENT + ANCHOR, None),
-            (2, codes, 0, before),
-            (3, codes, SEGMENT + ANCHOR, after),
-        ):
-            line, place, key = (row, at, anchor) if some is None else (row[some], at[some], anchor[some])
-            word = np.zeros(len(line), np.int64)
+        key = anchors[row, at] << (4 * SEGMENT)
+        for shift, up in ((0, 2 * SEGMENT), (SEGMENT + ANCHOR, 0)):
+            word = np.zeros(len(row), np.int64)
             for k in range(SEGMENT):
-                word |= letters[line, place + shift + k] << (2 * k)
-            places.append(block[line])
-            keys.append((np.int64(side) << 39) | (key << 23) | word)
-        small = np.flatnonzero((lens < MOVED) & (lens >= gram + 4))
-        if len(small):
-            place, key = _order_free(codes[small, SEGMENT:], lens[small], gram + 1)
-            places.append(block[small[place]])
-            keys.append(key)
-    short = [i for i, t in enumerate(texts) if gram <= len(t) < SHORT]
-    if short:
-        rows = [(i, hash_gram(g)) for i in short for g in {texts[i][k : k + gram] for k in range(len(texts[i]) - gram + 1)}]
-        places.append(np.array([r[0] for r in rows], np.int64))
-        keys.append(np.array([r[1] for r in rows], np.int64))
-    return np.concatenate(places), np.concatenate(keys)
-
-
-def decoded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all keys: every segment gives the indices of the codewords near its word."""
-    plain = np.flatnonzero(keys & EXACT)
-    fuzzy = np.flatnonzero((keys & EXACT) == 0)
-    index = codeword_keys(keys[fuzzy] & 0x7FFFFF)
-    new = np.ones(index.shape, bool)
-    new[:, 1:] = index[:, 1:] != index[:, :1]
-    r, c = np.nonzero(new)
-    return np.r_[plain, fuzzy[r]], np.r_[keys[plain], ((keys[fuzzy[r]] >> 23) << 12) | index[r, c]]
+                word |= ring[row, at + shift + k] << (2 * k)
+            key |= word << up
+        rest = np.maximum(lens[row] - at - ANCHOR, 0)
+        places.append(block[row])
+        keys.append(key)
+        forms.append((np.minimum(at, SEGMENT) << 4) | np.minimum(rest, SEGMENT))
+    short = np.array([i for i, t in enumerate(texts) if gram <= len(t) < SHORT], np.int64)
+    if len(short):
+        codes, _, lens = _letters([texts[i] for i in short], 0)
+        n = int(lens.max()) - gram + 1
+        grams = _windows(codes, 0, n, gram)
+        grams[np.arange(n) >= (lens - gram + 1)[:, None]] = -1
+        grams.sort(axis=1)
+        grams[:, 1:][grams[:, 1:] == grams[:, :-1]] = -1
+        row, at = np.nonzero(grams >= 0)
+        places.append(short[row])
+        keys.append(grams[row, at])
+        forms.append(np.full(len(row), 1 << 8))
+    return np.concatenate(places), np.concatenate(keys), np.concatenate(forms).astype(np.int64)
+
+
+def decoded(groups: np.ndarray, keys: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all rows: every segment gives the indices of the codewords near its word.
+
+    ``groups`` number what rows must share besides (anchor, field, cell). A segment runs around
+    the text's ends, so that halves that changed places keep theirs; where it does, what lies
+    before the end counts as a segment of its own, if it has PART letters. The NEAR letters next to
+    the anchor are a segment as well: a block that moved is intact only up to its ends."""
+    plain = np.flatnonzero(forms >> 8)
+    fuzzy = np.flatnonzero(forms >> 8 == 0)
+    key, before, after = keys[fuzzy], (forms[fuzzy] >> 4) & 15, forms[fuzzy] & 15
+    left, right = (key >> (2 * SEGMENT)) & _WORD, key & _WORD
+    rows, out = [plain], [(groups[plain] << 14) | (3 << 12)]
+    for side, word, some in (
+        (0, left, None),
+        (1, right, None),
+        (0, left & ~((np.int64(1) << (2 * (SEGMENT - before))) - 1), (before < SEGMENT) & (before >= PART)),
+        (1, right & ((np.int64(1) << (2 * after)) - 1), (after < SEGMENT) & (after >= PART)),
+        (0, left & ~((1 << (2 * (SEGMENT - NEAR))) - 1), before >= NEAR),
+        (1, right & ((1 << (2 * NEAR)) - 1), after >= NEAR),
+    ):
+        at = np.arange(len(fuzzy)) if some is None else np.flatnonzero(some)
+        index = codeword_keys(word[at])
+        new = np.ones(index.shape, bool)
+        new[:, 1:] = index[:, 1:] != index[:, :1]
+        r, c = np.nonzero(new)
+        rows.append(fuzzy[at[r]])
+        # cut-off segments are apart from whole ones
+        out.append((groups[fuzzy[at[r]]] << 15) | (np.int64(side) << 13) | (0 if some is None else 1 << 12) | index[r, c])
+    out[0] = (groups[plain] << 15) | (1 << 14)
+    return np.concatenate(rows), np.concatenate(out)
 
 
 def sketches(texts: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,47 +245,18 @@ def may_be_alike(low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray
     return (apart * (10 + tenths) <= both * (10 - tenths)) | (count[a] == 255) | (count[b] == 255)
 
 
-def _order_free(codes: np.ndarray, lens: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of every three among the six grams of least rank of each text, wherever they stand.
-
-    A block that moved within a short text can be shorter than an anchor and its segment."""
-    n = int(lens.max()) - gram + 1
-    grams = _windows(codes, 0, n, gram).astype(np.uint64) + np.uint64(1)
-    ranks = (grams * _MIX) >> np.uint64(16)
-    ranks[np.arange(n) >= (lens - gram + 1)[:, None]] = np.uint64(2**63)
-    ranks.sort(axis=1)
-    ranks[:, 1:][ranks[:, 1:] == ranks[:, :-1]] = np.uint64(2**63)
-    ranks.sort(axis=1)
-    places, keys = [], []
-    for some in combinations(range(min(6, n)), 3):
-        got = ranks[:, some]
-        use = np.flatnonzero((got < np.uint64(2**63)).all(1))
-        key = np.zeros(len(use), np.uint64)
-        for k in range(3):
-            key = (key ^ got[use, k]) * _MIX
-        places.append(use)
-        keys.append(((key >> np.uint64(23)) | np.uint64(EXACT)).astype(np.int64))
-    return np.concatenate(places), np.concatenate(keys)
-
-
-def cells(keys: np.ndarray, ids: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) of all rows, ``split`` times for those whose anchor is split in so many parts.
+def cells(hot: np.ndarray, ids: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of all rows, ``split[hot]`` times for those whose anchor or gram is split in so many parts.
 
     A row of part p goes to the cells {p, q} of all parts q, so any two rows share a cell."""
-    times = np.where(keys & EXACT, 1, split[(keys >> 23) & (_BUCKETS - 1)])
+    times = split[hot]
     if (times == 1).all():
-        return np.arange(len(keys)), np.zeros(len(keys), np.int32)
-    row = np.repeat(np.arange(len(keys)), times)
+        return np.arange(len(hot)), np.zeros(len(hot), np.int64)
+    row = np.repeat(np.arange(len(hot)), times)
     other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
     part = (((ids.astype(np.uint64) * _MIX) >> np.uint64(40)) % times.astype(np.uint64)).astype(np.int64)[row]
     low, high = np.minimum(part, other), np.maximum(part, other)
-    return row, (high * (high + 1) // 2 + low).astype(np.int32)
-
-
-def hash_gram(gram: bytes) -> int:
-    """A key of one gram, apart from the keys of anchors."""
-    value = int.from_bytes(gram[:7], "big") * 0x9E3779B97F4A7C15 % (1 << 64)
-    return EXACT | (value >> 23)
+    return row, high * (high + 1) // 2 + low
 
 
 def pairs_of_keys(keys: np.ndarray, ids: np.ndarray, keep=None, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -351,22 +351,22 @@ def _candidates(classes: DataFrame, gram: int, tenths: int) -> DataFrame:
             frame = batch.to_pandas()
             for field, part in frame.groupby("field"):
                 texts = [t.encode() for t in part["value"]]
-                sums[field] = sums.get(field, 0) + anchor_counts(texts)
-                rows[field] = rows.get(field, 0) + np.array([sum(3 * max(LEAST, -(-len(t) // EVERY)) for t in texts), len(texts)])
+                sums[field] = sums.get(field, 0) + key_counts(texts, gram)
+                rows[field] = rows.get(field, 0) + np.array([sum(max(LEAST, -(-len(t) // EVERY)) for t in texts), len(texts)])
         for field, c in sums.items():
             used = np.flatnonzero(c)
             yield pa.RecordBatch.from_pandas(
                 pd.DataFrame({"field": field, "anchor": np.r_[-1, -2, used], "n": np.r_[rows[field], c[used]]}), preserve_index=False
             )
 
-    # 65,536 counts per field at most, whatever the input holds
+    # 66,562 counts per field at most, whatever the input holds
     counted = classes.select("field", "value").mapInArrow(count, "field string, anchor bigint, n bigint").groupBy("field", "anchor").agg(F.sum("n").alias("n")).toPandas()
     ranks: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
     for at, (field, part) in enumerate(sorted(counted.groupby("field"), key=lambda x: x[0])):
-        counts = np.zeros(_BUCKETS, np.int64)
+        counts = np.zeros(_BUCKETS + _GRAMS, np.int64)
         inner = part[part["anchor"] >= 0]
         counts[inner["anchor"].to_numpy()] = inner["n"].to_numpy()
-        ranks[field] = (at, anchor_ranks(counts, int(part.loc[part["anchor"] == -2, "n"].sum())), counts // ROWS + 1)
+        ranks[field] = (at, anchor_ranks(counts[:_BUCKETS], int(part.loc[part["anchor"] == -2, "n"].sum())), counts // BUCKET + 1)
     shared = spark.sparkContext.broadcast(ranks)
     rows = int(counted.loc[counted["anchor"] == -1, "n"].sum()) if len(counted) else 0
     parts = max(shuffle_partitions(spark), rows // ROWS + 1)
@@ -376,40 +376,56 @@ def _candidates(classes: DataFrame, gram: int, tenths: int) -> DataFrame:
             frame = batch.to_pandas()
             for field, part in frame.groupby("field"):
                 number, order, split = shared.value[field]
-                ids = part["id"].to_numpy()
-                texts = [t.encode() for t in part["value"]]
+                all_ids, texts = part["id"].to_numpy(), [t.encode() for t in part["value"]]
                 for start in range(0, len(texts), 4096):
-                    some = texts[start : start + 4096]
-                    places, keys = fuzzy_keys(some, order, gram)
+                    some, ids = texts[start : start + 4096], all_ids[start : start + 4096]
+                    places, keys, forms = fuzzy_keys(some, order, gram)
                     low, high = sketches(some, gram)
-                    which, cell = cells(keys, ids[start : start + 4096][places], split)
-                    places, keys = places[which], keys[which]
+                    short = forms >> 8 == 1
+                    hot = np.where(short, _BUCKETS + keys % _GRAMS, keys >> (4 * SEGMENT))
+                    which, cell = cells(hot, ids[places], split)
+                    places, keys, forms, hot = places[which], keys[which], forms[which], hot[which]
+                    # what rows must share: cell, field, and the anchor, or the gram of short texts
+                    group = (cell << 30) | (np.int64(number) << 20) | hot
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((np.int64(number) << 42) | keys), pa.array(ids[start : start + 4096][places]), pa.array(low[places]), pa.array(high[places]), pa.array(cell)],
-                        ["key", "id", "low", "high", "cell"],
+                        [pa.array(group), pa.array(keys), pa.array(forms, pa.int16()), pa.array(ids[places]), pa.array(low[places]), pa.array(high[places])],
+                        ["bucket", "key", "form", "id", "low", "high"],
                     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches]
         if not got:
             return
-        keys, ids, low, high, cell = (np.concatenate(x) for x in zip(*got))
+        bucket, keys, forms, ids, low, high = (np.concatenate(x) for x in zip(*got))
         del got
-        for number, part in np.unique(np.c_[keys >> 42, cell], axis=0) if cell.any() else ((k, 0) for k in np.unique(keys >> 42)):
-            mine = np.flatnonzero((keys >> 42 == number) & (cell == part))
-            row, key = decoded(keys[mine] & ((1 << 42) - 1))
+        forms = forms.astype(np.int64)
+        # grams of short texts share more than the 1,024 kinds they are counted by
+        order = np.lexsort((np.where(forms >> 8, keys, 0), forms >> 8, bucket))
+        bucket, keys, forms, ids, low, high = (x[order] for x in (bucket, keys, forms, ids, low, high))
+        plain = np.where(forms >> 8, keys, -1)
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (plain[1:] != plain[:-1])]
+        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        ends = np.r_[starts[1:], len(bucket)]
+        at = 0
+        while at < len(starts):  # whole groups, about 100,000 rows at once
+            stop = max(int(np.searchsorted(ends, starts[at] + 100_000, side="right")), at + 1)
+            mine = np.arange(starts[at], ends[stop - 1])
+            row, key = decoded(group[mine] - at, keys[mine], forms[mine])
             row = mine[row]
-            for a, b in pairs_of_keys(key, ids[row], lambda x, y: may_be_alike(low, high, row[x], row[y], tenths)):  # noqa: B023
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(a), number, np.int32)), pa.array(a), pa.array(b)], ["f", "a", "b"]
-                )
-
-    # rows meet by field, side and anchor, and decode there: one row travels per segment, not one per key;
-    # the rows of an anchor that more than ROWS texts hold are split, and every two parts of them meet
+            field = (bucket >> 20) & 1023
+            for f in np.unique(field[mine]):
+                own = field[row] == f
+                r = row[own]
+                for a, b in pairs_of_keys(key[own], ids[r], lambda x, y: may_be_alike(low, high, r[x], r[y], tenths)):  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), f, np.int32)), pa.array(a), pa.array(b)], ["f", "a", "b"])
+            at = stop
+
+    # rows meet by field and anchor and decode there: one row travels per anchor, not one per key. The rows of an
+    # anchor that more than BUCKET texts hold are split, and every two parts of them meet in a cell of their own
     met = (
         classes.select("field", "id", "value")
-        .mapInArrow(emit, "key bigint, id bigint, low bigint, high bigint, cell int")
-        .repartition(parts, F.shiftright("key", 23), "cell")
+        .mapInArrow(emit, "bucket bigint, key bigint, form smallint, id bigint, low bigint, high bigint")
+        .repartition(parts, "bucket")
         .mapInArrow(meet, "f int, a bigint, b bigint")
         .dropDuplicates()
     )
@@ -427,52 +443,92 @@ def class_links(classes: DataFrame, gram: int, tenths: int) -> DataFrame:
             yield pa.array((either > 0) & (both * 10 >= either * tenths))
 
     met = _candidates(classes, gram, tenths)
-    a = classes.select("field", F.col("id").alias("a"), F.col("value").alias("left"))
-    b = classes.select("field", F.col("id").alias("b"), F.col("value").alias("right"))
-    return met.join(a, ["field", "a"]).join(b, ["field", "b"]).where(alike("left", "right")).select("field", "a", "b")
+    a = classes.select("field", F.col("id").alias("a"), F.col("value").alias("left"), F.col("copies").alias("a_copies"))
+    b = classes.select("field", F.col("id").alias("b"), F.col("value").alias("right"), F.col("copies").alias("b_copies"))
+    return met.join(a, ["field", "a"]).join(b, ["field", "b"]).where(alike("left", "right")).select("field", "a", "b", "a_copies", "b_copies")
 
 
-def near_duplicate_pairs(df: DataFrame, gram: int = 5, tenths: int = 6) -> DataFrame:
-    """All pairs of rows of one field whose values' likeness is at least ``tenths`` / 10.
+def _rows(df: DataFrame) -> DataFrame:
+    out = df.select(df["field"].cast("string").alias("field"), df["key"].cast("bigint").alias("key"), df["value"].cast("string").alias("value"))
+    return out.where(F.col("key").isNotNull()).dropDuplicates()
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """One row per distinct (field, value), written once: its class id is the smallest key; with the number of its copies."""
+    return cut(rows.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("copies")))
+
+
+def _members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every row's key with what ``classes`` tell of its value (null for a null value).
+
+    Rows of the classes that hold more than one row in HOT find theirs by a broadcast of these
+    fewer than HOT classes; to the others' join no class brings more than that share."""
+    told = [c for c in classes.columns if c not in ("field", "value")]
+    every = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).scalar()
+    hot = classes.where(F.col("copies") * HOT > every).withColumn("__hot", F.lit(True))
+    tagged = rows.join(F.broadcast(hot), ["field", "value"], "left")
+    found = tagged.where(F.col("__hot") | F.col("value").isNull()).select("field", "key", *told)
+    rest = tagged.where(F.col("__hot").isNull() & F.col("value").isNotNull()).select("field", "key", "value")
+    return found.union(rest.join(classes, ["field", "value"]).select("field", "key", *told))
+
+
+def near_duplicate_classes(df: DataFrame, gram: int = 5, tenths: int = 6) -> DataFrame:
+    """One row per row of ``df``: its class of exact copies, the class's rows and its links.
 
     ``df`` has ``field, key, value``, key unique within its field; the likeness of two values
     is the share of distinct ``gram``-letter substrings both have among those either has.
 
     Exact copies become one class before anything else. Each class gets Golay fuzzy keys (see
     :func:`fuzzy_keys`): of any two alike values most substrings agree, so among the anchors of
-    least rank (at least 7, one place in 7) some are common to both, and of their two segments
-    at least one lies on the side away from the next edit; up to two wrong bits in it are
-    borne by the code. Classes that share a key are verified exactly on whole texts. No
-    bucket is capped. Copies pair with each other and with all rows of alike classes.
+    least rank (14, or all places of a shorter text, or one place in 7 of a longer one) some are
+    common to both, and of their two segments at least one lies on the side away from the next
+    edit; up to two wrong bits in it are borne by the code. Classes that share a key are
+    verified exactly on whole texts. No bucket is capped.
+
+    Result: ``field, key, class_id`` (the smallest key with this value), ``copies`` and ``n_links``, the
+    number of other classes whose likeness is at least ``tenths`` / 10. Null values have no class;
+    values shorter than ``gram`` are alike to nothing. Repeated rows count once, rows without
+    key not at all; an empty table gives an empty result.
+    """
+    rows = _rows(df)
+    classes = _classes(rows)
+    links = class_links(classes, gram, tenths)
+    ends = links.select("field", F.explode(F.array("a", "b")).alias("id"))  # a union would find the links twice
+    counts = ends.groupBy("field", "id").agg(F.count(F.lit(1)).alias("n"))
+    linked = classes.join(counts, ["field", "id"], "left").select("field", "value", "id", "copies", F.coalesce("n", F.lit(0)).alias("n_links"))
+    return _members(rows, cut(linked)).select("field", "key", F.col("id").alias("class_id"), "copies", "n_links")
+
+
+def near_duplicate_pairs(df: DataFrame, gram: int = 5, tenths: int = 6) -> DataFrame:
+    """All pairs of rows of one field whose values' likeness is at least ``tenths`` / 10.
+
+    The links between classes of :func:`near_duplicate_classes`, expanded to their rows: copies
+    pair with each other and with all rows of alike classes. A class of n copies has n * n / 2
+    pairs; its rows are spread over n / COPIES parts, each of which meets the whole class, so no
+    task makes more than about COPIES * n of them.
 
     Result: ``field, key_a, key_b`` with key_a < key_b. Null values and values shorter than
     ``gram`` are alike to nothing; repeated rows count once; an empty table gives no pairs.
     """
-    rows = _frame(df)
-    classes = cut(_classes(rows))
+    rows = _rows(df)
+    classes = _classes(rows)
     links = class_links(classes, gram, tenths)
-    member = rows.where(F.col("value").isNotNull() & F.col("key").isNotNull() & (F.length("value") >= gram)).dropDuplicates()
-    member = member.join(classes, ["field", "value"]).select("field", "id", "key")
-    left = member.select("field", F.col("id").alias("a"), F.col("key").alias("x"))
-    right = member.select("field", F.col("id").alias("b"), F.col("key").alias("y"))
-    across = links.join(left, ["field", "a"]).join(right, ["field", "b"])
-    within = left.join(right.withColumnRenamed("b", "a"), ["field", "a"]).where(F.col("x") < F.col("y"))
-    pairs = across.select("field", "x", "y").union(within.select("field", "x", "y"))
-    return pairs.select("field", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
+    members = _members(rows.where(F.col("value").isNotNull() & (F.length("value") >= gram)), classes)
 
+    def parts(copies: str) -> Column:
+        return F.floor(F.col(copies) / COPIES).cast("int")
 
-def near_duplicate_classes(df: DataFrame, gram: int = 5, tenths: int = 6) -> DataFrame:
-    """One row per row of ``df``: its class of exact copies, the class's rows and its links.
+    def spread(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.floor(F.col("copies") / COPIES) + 1).cast("int")
 
-    ``field, key, class_id`` (the smallest key with this value), ``copies`` and ``n_links``, the
-    number of other classes whose likeness is at least ``tenths`` / 10. Null values have no class.
-    """
-    rows = _frame(df).where(F.col("key").isNotNull()).dropDuplicates()
-    classes = cut(_classes(rows))
-    links = class_links(classes, gram, tenths)
-    ends = links.select("field", F.explode(F.array("a", "b")).alias("id"))  # a union would find the links twice
-    counts = ends.groupBy("field", "id").agg(F.count(F.lit(1)).alias("n"))
-    sizes = rows.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("copies"))
-    known = classes.join(sizes, ["field", "value"]).join(counts, ["field", "id"], "left")
-    out = rows.join(known, ["field", "value"], "left")
-    return out.select("field", "key", F.col("id").alias("class_id"), "copies", F.when(F.col("id").isNotNull(), F.coalesce("n", F.lit(0))).alias("n_links"))
+    def every(copies: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), parts(copies)))
+
+    one = members.select("field", F.col("id").alias("a"), F.col("key").alias("x"), spread("key").alias("part"))
+    other = members.select("field", F.col("id").alias("b"), F.col("key").alias("y"), spread("key").alias("b_part"))
+    again = members.select("field", F.col("id").alias("a"), F.col("key").alias("y"), every("copies").alias("part"))
+    across = links.select("field", "a", "b", "b_copies", every("a_copies").alias("part")).join(one, ["field", "a", "part"])
+    across = across.select("field", "b", "x", every("b_copies").alias("b_part")).join(other, ["field", "b", "b_part"])
+    within = one.join(again, ["field", "a", "part"]).where(F.col("x") < F.col("y"))
+    pairs = across.select("field", "x", "y").union(within.select("field", "x", "y"))
+    return pairs.select("field", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
