@@ -15,27 +15,33 @@ def _region_pairs(spark: SparkSession, d: str, **options) -> DataFrame:
     return cooccurrence.cooccurrence(records, "region1", "region2", "cnt", **options)
 
 
+#: False-discovery rate at which the null must reject a pair.
+LEVEL = 0.05
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Region pairs of at least 20 reads that occur at least five times as often as the null expects.
+    """Region pairs of at least 20 reads that the fitted null rejects and that occur at least five times as often as by chance.
 
-    Such a pair has a surprise of 7 or more whatever the counts (20 where 4 are expected is the
-    least surprising case), so the bound on it only states that; the ratio is decided in integers.
+    The null decides what is a discovery, the definition's ratio, in integers, which of them are
+    cases. 20 reads where 4 are expected, the least surprising case there is, have a p-value of
+    about 10^-8; at the rate used such a case is kept as long as at least one in five million of
+    the pairs that occur is a discovery.
     """
-    pairs = _region_pairs(spark, d, min_count=20)
+    found = cooccurrence.discoveries(_region_pairs(spark, d, min_count=20), LEVEL)
     wide = lambda c: F.col(c).cast("decimal(19,0)")
-    found = pairs.where((wide("n12") * wide("total") >= wide("n1") * wide("n2") * 5) & (F.col("surprise") >= 6))
-    return found.select(F.least("left", "right").alias("item_a"), F.greatest("left", "right").alias("item_b"))
+    cases = found.where(wide("n12") * wide("total") >= wide("n1") * wide("n2") * 5)
+    return cases.select(F.least("left", "right").alias("item_a"), F.greatest("left", "right").alias("item_b"))
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Reads of every region pair beside those of its regions, and how many times as often as by chance it occurs."""
-    pairs = _region_pairs(spark, d)
+    pairs = _region_pairs(spark, d, null=False)
     return pairs.select("left", "right", "n12", "n1", "n2", F.round("lift", 6).alias("lift"))
 
 
 def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
-    """Surprise of every region pair under the fitted null, records with one region included, and its false-discovery bound."""
-    return cooccurrence.with_false_discovery(_region_pairs(spark, d, single=True))
+    """Surprise of every region pair under the fitted null and its false-discovery bound."""
+    return cooccurrence.with_false_discovery(_region_pairs(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,9 +129,9 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of lines of at least 12 words that the document's label does not name."""
-    parts = _labels(spark, d).select("doc_id", "named", F.explode("label.segments").alias("s"))
-    found = parts.where((F.col("s.longest_line") >= 12) & ~F.col("s.lang").eqNullSafe(F.col("named")))
-    return found.select("doc_id", F.col("s.lang").alias("lang")).dropDuplicates()
+    # an inner explode would have the texts labelled twice, once for the filter Spark infers from it
+    lines = _labels(spark, d).select("doc_id", "named", F.explode_outer("label.line_langs").alias("lang"))
+    return lines.where(F.col("lang").isNotNull() & ~F.col("lang").eqNullSafe(F.col("named"))).select("doc_id", "lang").dropDuplicates()
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
