@@ -133,7 +133,7 @@ def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.nda
 
     A text's fingerprint is the list of its chosen anchors, each with the segments of 11
     letters before and after it as 22-bit words: together the key. The form tells how many letters
-    the text has on either side, up to 11. What the words decode to is worked out where equal
+    the text has on either side, up to 11, and with bits 9 and 10 which side to leave out. What the words decode to is worked out where equal
     anchors meet (:func:`decoded`). Letters differ by one or two bits, so a segment with one
     changed letter still meets. Short texts have a row for each of their grams besides, of a form
     with bit 8 set.
@@ -159,9 +159,16 @@ def fuzzy_keys(texts: list[bytes], ranks: np.ndarray, gram: int) -> tuple[np.nda
                 word |= ring[row, at + shift + k] << (2 * k)
             key |= word << up
         rest = np.maximum(lens[row] - at - ANCHOR, 0)
+        # a segment that begins with a fixed piece tells no more than its anchor; the other side does
+        fixed = (order & FIXED) > 0
+        fixed[family] = False
+        last = usable[row] - 1
+        left = fixed[row, np.where(at > 0, np.maximum(at - ANCHOR, 0), last)]
+        right = fixed[row, np.where(at < last, np.minimum(at + ANCHOR, last), 0)]
+        left, right = left & ~right, right & ~left
         places.append(block[row])
         keys.append(key)
-        forms.append((np.minimum(at, SEGMENT) << 4) | np.minimum(rest, SEGMENT))
+        forms.append((right << 10) | (left << 9) | (np.minimum(at, SEGMENT) << 4) | np.minimum(rest, SEGMENT))
     short = np.array([i for i, t in enumerate(texts) if gram <= len(t) < SHORT], np.int64)
     if len(short):
         codes, _, lens = _letters([texts[i] for i in short], 0)
@@ -184,39 +191,39 @@ def decoded(groups: np.ndarray, keys: np.ndarray, forms: np.ndarray) -> tuple[np
     the text's ends, so that halves that changed places keep theirs; where it does, what lies
     before the end counts as a segment of its own, if it has PART letters. The NEAR letters next to
     the anchor are a segment as well: a block that moved is intact only up to its ends."""
-    plain = np.flatnonzero(forms >> 8)
-    fuzzy = np.flatnonzero(forms >> 8 == 0)
+    plain = np.flatnonzero(forms & (1 << 8))
+    fuzzy = np.flatnonzero((forms & (1 << 8)) == 0)
     key, before, after = keys[fuzzy], (forms[fuzzy] >> 4) & 15, forms[fuzzy] & 15
     left, right = (key >> (2 * SEGMENT)) & _WORD, key & _WORD
-    rows, out = [plain], [(groups[plain] << 14) | (3 << 12)]
-    for side, word, some in (
-        (0, left, None),
-        (1, right, None),
-        (0, left & ~((np.int64(1) << (2 * (SEGMENT - before))) - 1), (before < SEGMENT) & (before >= PART)),
-        (1, right & ((np.int64(1) << (2 * after)) - 1), (after < SEGMENT) & (after >= PART)),
-        (0, left & ~((1 << (2 * (SEGMENT - NEAR))) - 1), before >= NEAR),
-        (1, right & ((1 << (2 * NEAR)) - 1), after >= NEAR),
+    use = (forms[fuzzy] & (1 << 9)) == 0, (forms[fuzzy] & (1 << 10)) == 0
+    rows, out = [plain], [(groups[plain] << 15) | (1 << 14)]
+    for side, word, whole, some in (
+        (0, left, 1, True),
+        (1, right, 1, True),
+        (0, left & ~((np.int64(1) << (2 * (SEGMENT - before))) - 1), 0, (before < SEGMENT) & (before >= PART)),
+        (1, right & ((np.int64(1) << (2 * after)) - 1), 0, (after < SEGMENT) & (after >= PART)),
+        (0, left & ~((1 << (2 * (SEGMENT - NEAR))) - 1), 0, before >= NEAR),
+        (1, right & ((1 << (2 * NEAR)) - 1), 0, after >= NEAR),
     ):
-        at = np.arange(len(fuzzy)) if some is None else np.flatnonzero(some)
+        at = np.flatnonzero(use[side] & some)
         index = codeword_keys(word[at])
         new = np.ones(index.shape, bool)
         new[:, 1:] = index[:, 1:] != index[:, :1]
         r, c = np.nonzero(new)
         rows.append(fuzzy[at[r]])
         # cut-off segments are apart from whole ones
-        out.append((groups[fuzzy[at[r]]] << 15) | (np.int64(side) << 13) | (0 if some is None else 1 << 12) | index[r, c])
-    out[0] = (groups[plain] << 15) | (1 << 14)
+        out.append((groups[fuzzy[at[r]]] << 15) | ((2 * side + whole) << 12) | index[r, c])
     return np.concatenate(rows), np.concatenate(out)
 
 
-def sketches(texts: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """120 parities of each text's distinct grams by hash, and its number of grams up to 255.
+def sketches(texts: list[bytes], gram: int) -> np.ndarray:
+    """248 parities of each text's distinct grams by hash, and its number of grams up to 255, in four numbers.
 
     One gram that only one of two texts has flips one parity, so texts whose parities differ in
     d places differ in at least d grams: a pair can be dismissed, never wrongly. 255 grams
     or more, or letters beyond ASCII, give 255, which dismisses nothing.
     """
-    low, high = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    out = np.zeros((4, len(texts)), np.uint64)
     for block in _by_length(texts):
         part = [texts[i] for i in block]
         codes, _, lens = _letters(part, 0)
@@ -226,21 +233,21 @@ def sketches(texts: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
         grams[np.arange(n) >= (lens - gram + 1)[:, None]] = -1
         grams.sort(axis=1)
         grams[:, 1:][grams[:, 1:] == grams[:, :-1]] = -1
-        bit = (((grams.astype(np.uint64) + np.uint64(7)) * _MIX) >> np.uint64(33)) % np.uint64(120)
-        one = np.where(grams >= 0, np.uint64(1), np.uint64(0))
-        first = np.where(bit < 64, one << np.minimum(bit, np.uint64(63)), np.uint64(0))
-        second = np.where(bit >= 64, one << (np.maximum(bit, np.uint64(64)) - np.uint64(64)), np.uint64(0))
+        bit = (((grams.astype(np.uint64) + np.uint64(7)) * _MIX) >> np.uint64(33)) % np.uint64(248)
+        one = np.where(grams >= 0, np.uint64(1), np.uint64(0)) << (bit & np.uint64(63))
+        for k in range(4):
+            out[k, block] = np.bitwise_xor.reduce(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), axis=1)
         number = np.array([min(max(len(t) - gram + 1, 0), 255) if t.isascii() else 255 for t in part], np.uint64)
-        low[block] = np.bitwise_xor.reduce(first, axis=1).view(np.int64)
-        high[block] = (np.bitwise_xor.reduce(second, axis=1) | (number << np.uint64(56))).view(np.int64)
-    return low, high
+        out[3, block] |= number << np.uint64(56)
+    return out.view(np.int64)
 
 
-def may_be_alike(low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray, tenths: int) -> np.ndarray:
+def may_be_alike(marks: np.ndarray, a: np.ndarray, b: np.ndarray, tenths: int) -> np.ndarray:
     """Whether the sketches of rows a and b leave room for a likeness of tenths / 10."""
-    count = (high >> 56) & 0xFF
-    few = np.int64((1 << 56) - 1)
-    apart = np.bitwise_count((low[a] ^ low[b]).view(np.uint64)).astype(np.int64) + np.bitwise_count((high[a] ^ high[b]) & few)
+    x = marks[:, a] ^ marks[:, b]
+    x[3] &= np.int64((1 << 56) - 1)
+    apart = np.bitwise_count(x.view(np.uint64)).sum(0, dtype=np.int64)
+    count = (marks[3] >> 56) & 0xFF
     both = count[a] + count[b]
     return (apart * (10 + tenths) <= both * (10 - tenths)) | (count[a] == 255) | (count[b] == 255)
 
@@ -380,29 +387,30 @@ def _candidates(classes: DataFrame, gram: int, tenths: int) -> DataFrame:
                 for start in range(0, len(texts), 4096):
                     some, ids = texts[start : start + 4096], all_ids[start : start + 4096]
                     places, keys, forms = fuzzy_keys(some, order, gram)
-                    low, high = sketches(some, gram)
-                    short = forms >> 8 == 1
+                    marks = sketches(some, gram)
+                    short = (forms & (1 << 8)) > 0
                     hot = np.where(short, _BUCKETS + keys % _GRAMS, keys >> (4 * SEGMENT))
                     which, cell = cells(hot, ids[places], split)
                     places, keys, forms, hot = places[which], keys[which], forms[which], hot[which]
                     # what rows must share: cell, field, and the anchor, or the gram of short texts
                     group = (cell << 30) | (np.int64(number) << 20) | hot
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(group), pa.array(keys), pa.array(forms, pa.int16()), pa.array(ids[places]), pa.array(low[places]), pa.array(high[places])],
-                        ["bucket", "key", "form", "id", "low", "high"],
+                        [pa.array(group), pa.array(keys), pa.array(forms, pa.int16()), pa.array(ids[places]), *[pa.array(m[places]) for m in marks]],
+                        ["bucket", "key", "form", "id", "m0", "m1", "m2", "m3"],
                     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches]
         if not got:
             return
-        bucket, keys, forms, ids, low, high = (np.concatenate(x) for x in zip(*got))
+        bucket, keys, forms, ids, *marks = (np.concatenate(x) for x in zip(*got))
         del got
+        marks = np.array(marks)
         forms = forms.astype(np.int64)
         # grams of short texts share more than the 1,024 kinds they are counted by
-        order = np.lexsort((np.where(forms >> 8, keys, 0), forms >> 8, bucket))
-        bucket, keys, forms, ids, low, high = (x[order] for x in (bucket, keys, forms, ids, low, high))
-        plain = np.where(forms >> 8, keys, -1)
+        plain = np.where(forms & (1 << 8), keys, -1)
+        order = np.lexsort((plain, bucket))
+        bucket, keys, forms, ids, plain, marks = *(x[order] for x in (bucket, keys, forms, ids, plain)), marks[:, order]
         new = np.r_[True, (bucket[1:] != bucket[:-1]) | (plain[1:] != plain[:-1])]
         group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
         ends = np.r_[starts[1:], len(bucket)]
@@ -416,7 +424,7 @@ def _candidates(classes: DataFrame, gram: int, tenths: int) -> DataFrame:
             for f in np.unique(field[mine]):
                 own = field[row] == f
                 r = row[own]
-                for a, b in pairs_of_keys(key[own], ids[r], lambda x, y: may_be_alike(low, high, r[x], r[y], tenths)):  # noqa: B023
+                for a, b in pairs_of_keys(key[own], ids[r], lambda x, y: may_be_alike(marks, r[x], r[y], tenths)):  # noqa: B023
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), f, np.int32)), pa.array(a), pa.array(b)], ["f", "a", "b"])
             at = stop
 
@@ -424,7 +432,7 @@ def _candidates(classes: DataFrame, gram: int, tenths: int) -> DataFrame:
     # anchor that more than BUCKET texts hold are split, and every two parts of them meet in a cell of their own
     met = (
         classes.select("field", "id", "value")
-        .mapInArrow(emit, "bucket bigint, key bigint, form smallint, id bigint, low bigint, high bigint")
+        .mapInArrow(emit, "bucket bigint, key bigint, form smallint, id bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint")
         .repartition(parts, "bucket")
         .mapInArrow(meet, "f int, a bigint, b bigint")
         .dropDuplicates()
