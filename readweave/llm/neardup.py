@@ -19,7 +19,7 @@ ANCHOR, SEGMENT = 8, 11
 #: Letters a segment cut off by the text's end must have, and those of a segment beside a block that moved.
 PART, NEAR = 3, 6
 #: Anchors per text: at least LEAST, and one in EVERY of all its places, those of least rank.
-LEAST, EVERY = 14, 7
+LEAST, EVERY = 21, 7
 #: Texts below this length, too short for an anchor with a segment, also meet by their single grams: all of them, so exactly.
 SHORT = ANCHOR + PART + 5
 #: An anchor that more than one text in COMMON holds, and LARGE texts besides, may be part of a fixed piece.
@@ -488,7 +488,7 @@ def near_duplicate_classes(df: DataFrame, gram: int = 5, tenths: int = 6) -> Dat
 
     Exact copies become one class before anything else. Each class gets Golay fuzzy keys (see
     :func:`fuzzy_keys`): of any two alike values most substrings agree, so among the anchors of
-    least rank (14, or all places of a shorter text, or one place in 7 of a longer one) some are
+    least rank (21, or all places of a shorter text, or one place in 7 of a longer one) some are
     common to both, and of their two segments at least one lies on the side away from the next
     edit; up to two wrong bits in it are borne by the code. Classes that share a key are
     verified exactly on whole texts. No bucket is capped.
