@@ -158,8 +158,10 @@ def _piece(path: SeqPath, start: int, stop: int, default_phred: int) -> Iterator
             return path.format == "fasta" or ((two := line(2)) is not None and two[1].startswith(b"+"))
 
         while line(0) is not None and not is_header():
+            if not start and ahead[0][1] and path.format == "fasta":
+                raise RecordError(f"{path.path}: expected > but found {ahead[0][1][:20]!r}")
             if not start and ahead[0][1]:
-                raise RecordError(f"{path.path}: expected {mark.decode()} but found {ahead[0][1][:20]!r}")
+                break
             ahead.popleft()
         while line(0) is not None and ahead[0][0] < stop:
             at = ahead[0][0]

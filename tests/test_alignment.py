@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from readweave.functions.alignment import Scorer, edits, edits_text, regions_of_path, semiglobal, variants
+from readweave.functions.alignment import KINDS, Scorer, aligned_regions, edits, edits_text, regions_of_path, semiglobal, variants
 from readweave.functions.flanks import pattern_regions
 from readweave.operators.filters import alignment_threshold
 from readweave.operators.spec import Flanks
@@ -64,3 +66,65 @@ def test_flanks(seq, tolerance, expected):
     mark = {"partial_5": "5", "complete": "c", "partial_3": "3"}
     assert [f and seq[f[0] : f[1]] + mark[f[2]] for f in found] == expected
     assert pattern_regions([None, ""], FLANKS, 0) == [[None] * 4] * 2
+
+
+def plain_alignment(read, template, s):
+    """Score and path of one read by three plain tables; from the end, diagonal steps before insertions before deletions."""
+    low, n, m = -(10**9), len(read), len(template)
+    best = [[0] * (m + 1)] + [[low] * (m + 1) for _ in range(n)]
+    ins, dele = ([[low] * (m + 1) for _ in range(n + 1)] for _ in range(2))
+
+    def pair(i, j):
+        a, b = read[i - 1], template[j - 1]
+        return s.n_match if "N" in (a, b) else s.match if a == b else s.mismatch
+
+    for i in range(1, n + 1):
+        for j in range(m + 1):
+            ins[i][j] = max(best[i - 1][j] + s.gap_open, ins[i - 1][j]) + s.gap_extend
+            if j:
+                dele[i][j] = max(best[i][j - 1] + s.gap_open, dele[i][j - 1]) + s.gap_extend
+            best[i][j] = max(ins[i][j], dele[i][j], best[i - 1][j - 1] + pair(i, j) if j else low)
+    j = best[n].index(max(best[n]))
+    score, i, state, path = best[n][j], n, "M", []
+    while i:
+        if state == "M":
+            if j and best[i][j] == best[i - 1][j - 1] + pair(i, j):
+                path.append((i, j, "M" if read[i - 1] == template[j - 1] else "S"))
+                i, j = i - 1, j - 1
+                continue
+            state = "I" if best[i][j] == ins[i][j] else "D"
+        path.append((i, j, state))
+        if state == "I":
+            state, i = ("I" if ins[i][j] == ins[i - 1][j] + s.gap_extend else "M"), i - 1
+        else:
+            state, j = ("D" if dele[i][j] == dele[i][j - 1] + s.gap_extend else "M"), j - 1
+    return score, path[::-1]
+
+
+def test_batches_against_plain_alignment():
+    """Scores, paths and regions of reads with edits, ends cut off and chance reads, whatever batch they are in."""
+    rng = random.Random(2)
+    template = "TTCGCGCANNNNNNNNNNGGATCTAGGACNNNNNNCAGTGACT"
+    regions = [(9, 19), (30, 36)]
+    reads = ["", "A", "N", "GGGGGGGGGGGG"]
+    for _ in range(150):
+        base = [rng.choice("ACGT") if c == "N" else c for c in template]
+        for _ in range(rng.randrange(5)):
+            at, kind = rng.randrange(len(base)), rng.random()
+            if kind < 0.5:
+                base[at] = rng.choice("ACGT")
+            elif kind < 0.75:
+                del base[at]
+            else:
+                base.insert(at, rng.choice("ACGT"))
+        text = "".join(base)
+        low, high = rng.choice([0, 0, rng.randrange(20)]), rng.choice([len(text), rng.randrange(20, len(text))])
+        reads.append(text[low:high])
+    scores, starts, stops, kinds = aligned_regions(reads, template, Scorer(), regions, block=16)
+    for k, (read, (score, path)) in enumerate(zip(reads, semiglobal(reads, template, Scorer(), block=64))):
+        if not read:
+            assert score == 0 and path == [] and (kinds[k] == -1).all()
+            continue
+        assert (score, path) == plain_alignment(read, template, Scorer()), read
+        found = [None if kinds[k, r] < 0 else (starts[k, r], stops[k, r], KINDS[kinds[k, r]]) for r in range(2)]
+        assert scores[k] == score and found == regions_of_path(path, regions), read

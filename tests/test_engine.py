@@ -160,3 +160,51 @@ def test_hgvs_strings_of_all_regions(spark, tmp_path):
     assert got["region1", gapped][0] == got["region1", short][0] == r1 and got["region2", sub][0] == r2
     assert "ins" in got["region1", gapped][1] and "del" in got["region1", gapped][1] and "del" in got["region1", short][1]
     assert ">" in got["region2", sub][1] and got["region2", r2][1] is None and got["region1", "G" * 28][1] is None
+
+
+def test_checkpoint_folder_must_be_shared():
+    from readweave.session import ensure_checkpoint_dir
+
+    class Context:
+        def __init__(self, master, folder):
+            self.master, self.folder = master, folder
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {"spark.checkpoint.dir": self.folder} if self.folder else {}
+
+        def setCheckpointDir(self, folder):
+            self.set = folder
+
+    class Session:
+        def __init__(self, *what):
+            self.sparkContext = Context(*what)
+
+    with pytest.raises(OptionError):
+        ensure_checkpoint_dir(Session("spark://host:7077", None))
+    assert ensure_checkpoint_dir(Session("spark://host:7077", "/shared")) == "/shared"
+    assert ensure_checkpoint_dir(Session("local[4]", None))
+
+
+def test_places_follow_the_order(spark):
+    from readweave.operators.outputs import sort_by_total
+    from readweave.session import with_place
+
+    df = spark.range(1000, numPartitions=7).withColumn("v", -F.col("id"))
+    got = with_place(df, "place", F.asc("v")).collect()
+    assert sorted(r["place"] for r in got) == list(range(1, 1001)) and all(r["place"] == 1000 - r["id"] for r in got)
+    rows = [("g1", "a", 5), ("g2", "a", 1), ("g1", "b", 4), (None, None, 6), ("g3", "c", 1)]
+    table = spark.createDataFrame(rows, "`group` string, forward string, count int")
+    want = [("g1", "a"), ("g2", "a"), (None, None), ("g1", "b"), ("g3", "c")]
+    assert [(r["group"], r["forward"]) for r in sort_by_total(table).collect()] == [(None, None), ("g1", "a"), ("g2", "a"), *want[3:]]
+    assert [(r["group"], r["forward"]) for r in sort_by_total(table.where("forward is not null"), place="n").orderBy("n").collect()] == [w for w in want if w[1]]
+
+
+def test_packed_hamming(spark):
+    from readweave.functions.exprs import hamming, hamming_packed, packed_bases
+
+    rows = [("ACGT", "ACGA"), ("T" * 31, "A" * 31), ("ACGT", "ACGT"), ("ACNT", "ACGT"), ("A" * 32, "C" * 32), ("", "")]
+    df = spark.createDataFrame(rows, "a string, b string").select(hamming_packed(packed_bases(F.col("a")), packed_bases(F.col("b"))), hamming(F.col("a"), F.col("b")))
+    assert [tuple(r) for r in df.collect()] == [(1, 1), (31, 31), (0, 0), (None, 1), (None, 32), (None, 0)]
