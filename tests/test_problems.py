@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from readweave.operators.badrows import Field, read_delimited, split_by_errors
 from readweave.operators.eager import eager_join_aggregate
 from readweave.operators.records import distinct_records
+from readweave.operators.skew import lookup_join
 from readweave.plans import problems
 
 
@@ -31,6 +32,15 @@ def test_eager_join_with_a_hot_key(spark):
     assert tuple(got) == (500, 60_000**2, every * 60_000, 60_000 * every)
 
 
+def test_lookup_join(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [(f"k{i}", i) for i in range(2000)] + [(None, 1), ("none", 2)], "k string, v int")
+    table = rows.where("k is not null and k <> 'none'").groupBy("k").agg(F.count("*").alias("n"))
+    for how, missing in (("inner", 0), ("left", 2)):
+        got = lookup_join(rows, table, ["k"], "n", how).collect()
+        assert len(got) == 5000 + missing and sum(r["n"] == 3000 for r in got) == 3000 and sum(r["n"] == 1 for r in got) == 2000
+    assert lookup_join(rows.limit(0), table.limit(0), ["k"], "n").count() == 0
+
+
 def test_reads_of_combinations_come_through_the_join(spark, tmp_path):
     rows = [(i, f"c{i % 3}" if i % 5 else None, None if i % 7 == 0 else "hot" if i % 2 else f"g{i}", i % 11) for i in range(400)]
     df = spark.createDataFrame(rows + rows[:50], "rec_id bigint, combination_id string, grp string, cnt bigint").withColumn("__k", F.lit(1))
