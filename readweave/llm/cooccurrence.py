@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from readweave.operators.skew import lookup_join
 from readweave.session import cut
 
 #: -log10 of a p-value is ranked in steps of 1/STEPS up to FINE, and beyond, where no double holds the p-value
@@ -148,10 +149,12 @@ def cooccurrence(
     )
     states = cut(rows.where(F.col("left").isNotNull() | F.col("right").isNotNull()).groupBy("left", "right").agg(F.sum("w").alias("n12")))
     both = F.col("left").isNotNull() & F.col("right").isNotNull()
-    counts = [states.where(F.col(side).isNotNull()).groupBy(side).agg(F.sum(F.when(both, F.col("n12"))).alias(f"n{i}"), F.sum("n12").alias(f"d{i}")) for i, side in ((1, "left"), (2, "right"))]
-    total = states.where(both).agg(F.coalesce(F.sum("n12"), F.lit(0)).alias("t")).scalar()
+    counts = [states.where(F.col(side).isNotNull()).groupBy(side).agg(F.sum(F.when(both, F.col("n12"))).alias(f"n{i}"), F.sum("n12").alias(f"d{i}"), F.count(F.lit(1)).alias(f"__k{i}")) for i, side in ((1, "left"), (2, "right"))]
+    number = lambda when, what: F.coalesce(F.sum(F.when(when, what)), F.lit(0))
+    total, alone, observed = states.agg(number(both, F.col("n12")), number(~both, F.col("n12")), number(both & (F.col("n12") > 0), F.lit(1))).first()
     pairs = states.where(both & (F.col("n12") >= min_count))
-    out = pairs.join(counts[0], "left").join(counts[1], "right").withColumn("total", total)
+    # an item with very many partners finds its counts by broadcast
+    out = lookup_join(lookup_join(pairs, counts[0], ["left"], "__k1"), counts[1], ["right"], "__k2").withColumn("total", F.lit(total).cast("bigint"))
     expected = F.col("n1").cast("double") * F.col("n2").cast("double") / F.nullif(F.col("total"), F.lit(0)).cast("double")
     out = out.withColumn("expected", expected).withColumn(
         "lift", F.when(F.col("expected") > 0, F.col("n12") / F.col("expected"))
@@ -159,26 +162,23 @@ def cooccurrence(
     known = ["left", "right", "n12", "n1", "n2", "total", "expected", "lift"]
     if not null:
         return out.select(*known)
-    y, baskets, observed = _fit(states, both, *counts)
+    y, baskets = _fit(counts[0], counts[1], alone, total)
     out = out.withColumn("__x", F.when(F.col("expected") > 0, _surprise_column(F.col("n12"), F.col("d1"), F.col("d2"), y, baskets)))
     seen = F.greatest(F.col("__x.all") - F.col("__x.seen"), F.lit(0.0)).alias("surprise_seen")
     return out.select(*known, "d1", "d2", F.lit(observed).alias("observed"), F.col("__x.all").alias("surprise"), seen)
 
 
-def _fit(states: DataFrame, both: Column, lefts: DataFrame, rights: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """The null fitted to two bounded histograms, degrees in steps of 1 % and two sizes; and the number of pairs that occur."""
-    degree = lefts.select(F.col("d1").alias("d")).union(rights.select("d2"))
-    step = F.when(F.col("d") > 0, F.round(F.log(F.nullif("d", F.lit(0))) * 100)).cast("int")
+def _fit(lefts: DataFrame, rights: DataFrame, alone: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The null fitted to two bounded histograms: degrees in steps of 1 %, and two basket sizes."""
+    degree = lefts.select(F.col("d1").alias("d")).union(rights.select("d2")).where("d > 0")
+    step = F.round(F.log("d") * 100).cast("int")
     hist = degree.groupBy(step.alias("b")).agg(F.avg("d").alias("d"), F.count(F.lit(1)).alias("n")).collect()
-    number = lambda when, what: F.coalesce(F.sum(F.when(when, what)), F.lit(0))
-    sizes = states.agg(number(both, F.col("n12")), number(~both, F.col("n12")), number(both & (F.col("n12") > 0), F.lit(1))).first()
-    baskets = np.array([sizes[1], sizes[0]], float)
+    baskets = np.array([alone, total], float)
     used = baskets > 0
-    seen = [r for r in hist if r["b"] is not None]
-    if not used[1] or not seen:
-        return np.empty(0), np.empty(0), sizes[2]
-    y = fit_null([r["d"] for r in seen], [r["n"] for r in seen], np.array([1.0, 2.0])[used], baskets[used])
-    return y, baskets[used], sizes[2]
+    if not used[1] or not hist:
+        return np.empty(0), np.empty(0)
+    y = fit_null([r["d"] for r in hist], [r["n"] for r in hist], np.array([1.0, 2.0])[used], baskets[used])
+    return y, baskets[used]
 
 
 def with_false_discovery(pairs: DataFrame, surprise: str = "surprise_seen", tests: str = "observed") -> DataFrame:

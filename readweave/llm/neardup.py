@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readweave.llm.golay import codeword_keys
+from readweave.operators.skew import lookup_join
 from readweave.session import cut, shuffle_partitions
 
 #: Letters of an anchor and of the segment on either side of it (2 bits a letter, 22 of 23 bits).
@@ -35,8 +36,6 @@ _WORD = (1 << (2 * SEGMENT)) - 1
 ROWS, BUCKET = 300_000, 20_000
 #: Pairs of copies a task is meant to make of one class, per copy.
 COPIES = 256
-#: A class that holds more than one row in HOT is hot; there are fewer than HOT of them.
-HOT = 1024
 
 
 def _letters(texts: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -467,17 +466,9 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def _members(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every row's key with what ``classes`` tell of its value (null for a null value).
-
-    Rows of the classes that hold more than one row in HOT find theirs by a broadcast of these
-    fewer than HOT classes; to the others' join no class brings more than that share."""
+    """Every row's key with what ``classes`` tell of its value (null for a null value)."""
     told = [c for c in classes.columns if c not in ("field", "value")]
-    every = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).scalar()
-    hot = classes.where(F.col("copies") * HOT > every).withColumn("__hot", F.lit(True))
-    tagged = rows.join(F.broadcast(hot), ["field", "value"], "left")
-    found = tagged.where(F.col("__hot") | F.col("value").isNull()).select("field", "key", *told)
-    rest = tagged.where(F.col("__hot").isNull() & F.col("value").isNotNull()).select("field", "key", "value")
-    return found.union(rest.join(classes, ["field", "value"]).select("field", "key", *told))
+    return lookup_join(rows, classes, ["field", "value"], "copies", "left").select("field", "key", *told)
 
 
 def near_duplicate_classes(df: DataFrame, gram: int = 5, tenths: int = 6) -> DataFrame:

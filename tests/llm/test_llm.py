@@ -22,13 +22,15 @@ def grams(t):
 
 
 def brute(rows):
-    out = set()
-    for i, (f, k, v) in enumerate(rows):
-        for g, m, w in rows[i + 1 :]:
-            if f == g and v is not None and w is not None:
-                a, b = grams(v), grams(w)
-                if a | b and len(a & b) * 10 >= 6 * len(a | b):
-                    out.add((f, min(k, m), max(k, m)))
+    """All pairs of rows of one field, their sets of grams as bits of a number."""
+    bits, sets, out = {}, [], set()
+    for _, _, v in rows:
+        sets.append(sum(1 << bits.setdefault(g, len(bits)) for g in grams(v)) if v is not None else 0)
+    for i, (f, k, _) in enumerate(rows):
+        a = sets[i]
+        for j in range(i + 1, len(rows)):
+            if a and (b := sets[j]) and rows[j][0] == f and (a & b).bit_count() * 10 >= 6 * (a | b).bit_count():
+                out.add((f, min(k, rows[j][1]), max(k, rows[j][1])))
     return out
 
 
