@@ -35,8 +35,7 @@ def read_group(pattern: str | None, read_id: Column, description: Column) -> Col
 
 
 @F.arrow_udf(T.FloatType())
-def mean_quality(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Mean Phred+33 quality in single precision; 0 for an empty string, null for null."""
+def _mean_quality(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for part in parts:
         data = part.cast(pa.large_binary())
         bounds = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
@@ -49,6 +48,17 @@ def mean_quality(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(mean.astype(np.float32), pa.float32(), mask=np.asarray(part.is_null()))
 
 
+_MEAN_QUALITY = _mean_quality.asNondeterministic()
+
+
+def mean_quality(quality: Column | str) -> Column:
+    """Mean Phred+33 quality in single precision; 0 for an empty string, null for null.
+
+    Bytes of whole batches are summed at once in Arrow, since Spark has no expression that sums the bytes of a string but
+    by a function per letter. Spark may not push it below other steps, where more rows would pay for it."""
+    return _MEAN_QUALITY(quality)
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Number of differing places of two strings of one length; null if the lengths differ."""
     differing = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, 0).otherwise(1))

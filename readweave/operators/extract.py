@@ -17,6 +17,7 @@ from readweave.functions.exprs import COMPLETE, PARTIAL3, PARTIAL5, mean_quality
 from readweave.functions.flanks import pattern_regions
 from readweave.operators.filters import FilterConfig, alignment_reason, alignment_threshold
 from readweave.operators.spec import LibrarySpec
+from readweave.session import once
 
 MODES = ("full-read", "inframe", "pattern", "align")
 _FOUND = "struct<seq:string,kind:string,split:int,quality:float>"
@@ -88,17 +89,23 @@ def _inframe(reads: DataFrame, spec: LibrarySpec, paired: bool, options: Extract
         return reads.select("*", *[f.alias(n) for f, n in zip(forward, names)])
     offset = spec.position(spec.forward_start_region)[0]
     offset = -offset if options.strict_offset else offset
-    merged = []
-    for r, f, (back, back_quality) in zip(spec.variable, forward, _inframe_reverse(spec)):
+    seen, texts = {}, []
+    for i, (r, (back, back_quality)) in enumerate(zip(spec.variable, _inframe_reverse(spec))):
         start, end = (p + offset for p in spec.position(r.id))
         # here the forward read's regions stand each for itself
         seq, n = F.substring("f_seq", max(start, 0) + 1, end - start), F.length("f_seq")
         f = F.when(n > end, region(seq, COMPLETE)).when(n > start, region(seq, PARTIAL3)) if start >= 0 else F.lit(None).cast(_plain())
+        seen |= {f"__f{i}": f, f"__b{i}": back}
+        texts.append((F.substring("f_qual", max(start, 0) + 1, end - start), back_quality))
+    rows = once(reads, **seen)
+    qualities = []
+    for i, pair in enumerate(texts):
         # qualities decide only where both ends show all of the region; elsewhere nulls are handed over, at no cost
-        both = f.isNotNull() & back.isNotNull() & (f["kind"] == COMPLETE) & (back["kind"] == COMPLETE)
-        quality, other = (mean_quality(F.when(both, q)) for q in (F.substring("f_qual", max(start, 0) + 1, end - start), back_quality))
-        merged.append(merge_evidence(f, back, quality, other, r.longest))
-    return reads.select("*", *[m.alias(n) for m, n in zip(merged, names)])
+        both = (F.col(f"__f{i}.kind") == COMPLETE) & (F.col(f"__b{i}.kind") == COMPLETE)
+        qualities += [mean_quality(F.when(both, q)).alias(f"__{side}q{i}") for side, q in zip("fb", pair)]
+    rows = rows.select("*", *qualities)
+    merged = [merge_evidence(F.col(f"__f{i}"), F.col(f"__b{i}"), F.col(f"__fq{i}"), F.col(f"__bq{i}"), r.longest) for i, r in enumerate(spec.variable)]
+    return rows.select(*[F.col(c) for c in reads.columns], *[m.alias(n) for m, n in zip(merged, names)])
 
 
 def _found_array(seqs: list[str | None], quals: list[str | None], starts: np.ndarray, stops: np.ndarray, kinds: np.ndarray) -> pa.ListArray:
@@ -155,7 +162,8 @@ def _align_column(spec: LibrarySpec, options: ExtractOptions, seq: Column, qual:
             found = _found_array(s, quals.to_pylist(), starts[at] - 1, stops[at] - 1, kinds[at])
             yield pa.StructArray.from_arrays([pa.array(scores[at]), found], ["score", "regions"], mask=seqs.is_null())
 
-    return run(seq, qual)
+    # a filter on the score would else be pushed down to the scan, and repeat the alignment there for every repeated read
+    return run.asNondeterministic()(seq, qual)
 
 
 def _from_arrays(reads: DataFrame, spec: LibrarySpec, paired: bool) -> DataFrame:

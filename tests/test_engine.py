@@ -60,7 +60,7 @@ def test_inframe_golden(spark, tmp_path):
     members = [("seq1", "GAAAG", "CTTTG"), ("seq2", "AAGAG", "AACAG"), ("seq3", "ATGTC", "GCTGG"), ("seqX", "GGCCG", "TTAAT")]
     spec = LibrarySpec.from_dict(SPEC)
     library = compile_library(spec, spark.createDataFrame(members, "_id string, region1 string, region2 string"))
-    counts = count_reads(spark, reads, spec, ExtractOptions("inframe"), full_seq=True, paired=True).compare(library)
+    counts = count_reads(spark, reads, spec, ExtractOptions("inframe"), full_seq=True, paired=True).compare(library).written()
     got = {x["region1"]: x for x in counts.counts().collect()}
     assert (got["GAAAG"]["count"], got["GAAAG"]["combination_id"], got["GAAAG"]["region2_nearest"]) == (4, "seq1", "CTTTG")
     assert (got["AAAAA"]["combination_status"], got["AAAAA"]["combinations_in_library"], got["AAAAA"]["region1_n_matches"]) == ("mismatch", 0, 0)
