@@ -194,7 +194,7 @@ def with_false_discovery(pairs: DataFrame, surprise: str = "surprise_seen", test
     """
     s = F.col(surprise)
     step = F.when(s < FINE, F.floor(s * STEPS)).otherwise(FINE * STEPS + F.floor(F.log(F.greatest(s, F.lit(1.0)) / FINE) * COARSE)).cast("int")
-    rows = pairs.withColumn("__b", step)
+    rows = cut(pairs.withColumn("__b", step))  # read twice below: for the ranks and for the result
     table = rows.where(F.col("__b").isNotNull()).groupBy("__b").agg(F.count(F.lit(1)).alias("__n"), F.max(tests).cast("double").alias("__m"))
     above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, 0)
     below = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
