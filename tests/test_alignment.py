@@ -5,7 +5,8 @@ import pytest
 from readweave.functions.alignment import KINDS, Scorer, aligned_regions, edits, edits_text, regions_of_path, semiglobal, variants
 from readweave.functions.flanks import pattern_regions
 from readweave.operators.filters import alignment_threshold
-from readweave.operators.spec import Flanks
+from readweave.errors import OptionError, SpecError
+from readweave.operators.spec import Flanks, LibrarySpec
 
 DIFFS = [
     ("ACGT", "TCGT", "1T>A"), ("TATT", "AAGT", "1A>T;3G>T"), ("ACGT", "CGT", "0_1_insA"), ("ACGT", "ACG", "3_4_insT"),
@@ -128,3 +129,26 @@ def test_batches_against_plain_alignment():
         assert (score, path) == plain_alignment(read, template, Scorer()), read
         found = [None if kinds[k, r] < 0 else (starts[k, r], stops[k, r], KINDS[kinds[k, r]]) for r in range(2)]
         assert scores[k] == score and found == regions_of_path(path, regions), read
+
+
+def construct(*regions):
+    """A construct of F for fixed and V for variable regions."""
+    made = [{"id": f"r{i}", "seq_type": "Fixed", "seq": "ACGTTGCA"[: 3 + i]} if k == "F" else {"id": f"r{i}", "seq_type": "Library", "min_length": 4, "max_length": 6} for i, k in enumerate(regions)]
+    return LibrarySpec.from_dict({"id": "c", "forward_start_region": "r0", "forward_read_length": 20, "reverse_start_region": f"r{len(made) - 1}", "reverse_read_length": 20, "regions": made})
+
+
+def test_flanks_of_constructs():
+    spec = construct("F", "F", "V", "F", "V")
+    assert spec.all_flanks(5) == [Flanks("GACGT", "ACGTT"), Flanks("CGTTG", None)]
+    assert spec.expected_reverse()[:4] == "NNNN" and len(spec.expected_forward()) == 20
+    with pytest.raises(SpecError, match="no fixed flank"):
+        construct("V").all_flanks(5)
+    with pytest.raises(SpecError, match="adjacent"):
+        construct("F", "V", "V", "F")
+
+
+@pytest.mark.parametrize("tolerance", [-0.1, 1.5])
+def test_tolerance_has_bounds(tolerance):
+    assert alignment_threshold(100, 0.5) == 50 and alignment_threshold(88, 0.8) == 70
+    with pytest.raises(OptionError):
+        alignment_threshold(100, tolerance)
