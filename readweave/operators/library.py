@@ -11,6 +11,8 @@ from readweave.operators.spec import LibrarySpec
 from readweave.session import with_place
 
 METRICS = ("exact", "hamming", "levenshtein", "bounded-levenshtein")
+#: Estimated bytes of a library up to which its seeds are broadcast; larger ones are joined by a shuffle.
+BROADCAST = 2 << 20
 FULL, HEAD, TAIL = "full", "head", "tail"
 
 
@@ -144,7 +146,9 @@ def lookup(probes: DataFrame, library: DataFrame, metric: str, max_distance: int
         "region_id", "anchor", "n", "m", "seq", "limit", packed_bases(F.col("seq")).alias("bits"), F.explode(F.concat(equal, near)).alias("s")
     )
     probe_seeds = probe_seeds.select("region_id", "anchor", "n", "m", "seq", "limit", "bits", "s.i", "s.chunk")
-    met = probe_seeds.join(target_seeds, ["region_id", "anchor", "n", "m", "i", "chunk"])
+    # the seeds of a small library go to where the probes are: there are limit + 2 of each sequence and probe length
+    small = _estimated_bytes(library) <= BROADCAST
+    met = probe_seeds.join(F.broadcast(target_seeds) if small else target_seeds, ["region_id", "anchor", "n", "m", "i", "chunk"])
     if lev:
         value = F.levenshtein("seq", "shown", most)
     else:
@@ -159,6 +163,11 @@ def lookup(probes: DataFrame, library: DataFrame, metric: str, max_distance: int
     return near.select("*", F.col("found.hit").alias("hits"), ids_of("found").alias("ids"))
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    """What Catalyst knows of a table's size without running it: the size of its files, or a very large number."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 CHUNKS = "array<struct<i:int,chunk:string>>"
 FOUND = "array<struct<hit:string,ids:array<string>>>"
 
